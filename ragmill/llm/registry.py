@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from ragmill.llm import op8_license, op9_chat
+from ragmill.llm import op1_toxicity, op4_media, op5_language, op8_license, op9_chat
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity.op1_toxicity,
+    "op4_media_columns": op4_media.op4_media_columns,
+    "op5_language_id": op5_language.op5_language_id,
     "op8_license_scan": op8_license.op8_license_scan,
     "op9_chat_format": op9_chat.op9_chat_format,
 }
