@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ragmill.llm.common import held_out, table, text_buffers
 
-ORDERS = (3, 4, 5)
+ORDERS = (3, 5, 7)
 BITS = 18
 
 
@@ -40,23 +40,27 @@ def grams(text: str, scratch: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """weight: by bucket, the log-count ratio times what the regression learned; prior: score without text."""
+    """weight: by bucket, the log-count ratio times what the regression learned; used: the buckets it learned from;
+    bias: score without text."""
 
     weight: np.ndarray
     bias: float
+    used: np.ndarray
+
 
     def score(self, text: str, scratch: np.ndarray) -> float:
         g = grams(text, scratch)
-        z = self.bias + float(self.weight[g].sum(dtype=np.float64))
+        z = self.bias + float(self.weight[g].sum(dtype=np.float64)) / np.sqrt(1 + np.count_nonzero(self.used[g]))
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def fit(texts: list[str], labels: np.ndarray, smooth: float = 1.0, l2: float = 1e-3, steps: int = 200, least_df: int = 3) -> Model:
-    """Without rows of both labels the model is constant: the share of label 1, or 0 without any rows."""
+def fit(texts: list[str], labels: np.ndarray, smooth: float = 1.0, l2: float = 1e-4, steps: int = 200, least_z: float = 4.0, share: float = 0.2, rate: float = 0.05) -> Model:
+    """Binary features that tell the labels apart by ``least_z`` standard errors, times their log-count ratios,
+    over the root of how many a text has; ``share`` is the weight of label 1. Without rows of both labels the model is constant: the share of label 1, or 0 without any rows."""
     size = 1 << BITS
     y = np.asarray(labels, np.float64)
     if len(y) == 0 or y.min() == y.max():
-        return Model(np.zeros(size, np.float32), 40.0 if len(y) and y[0] > 0 else -40.0)
+        return Model(np.zeros(size, np.float32), 40.0 if len(y) and y[0] > 0 else -40.0, np.zeros(size, bool))
     scratch = np.zeros(size, np.int32)
     rows = [grams(t, scratch) for t in texts]
     n1, n0 = max(y.sum(), 1), max((1 - y).sum(), 1)
@@ -64,31 +68,33 @@ def fit(texts: list[str], labels: np.ndarray, smooth: float = 1.0, l2: float = 1
     for g, lab in zip(rows, y, strict=True):
         (df1 if lab else df0)[g] += 1
     ratio = np.log((df1 + smooth) / (n1 + 2 * smooth)) - np.log((df0 + smooth) / (n0 + 2 * smooth))
-    use = (df1 + df0 >= least_df) & (np.abs(ratio) > 0.5)
+    sure = np.abs(ratio) / np.sqrt(1 / (df1 + smooth) + 1 / (df0 + smooth))  # ratios in standard errors
+    use = sure >= least_z
     to = np.cumsum(use) - 1
     x = [to[g[use[g]]] for g in rows]
     cols = np.concatenate(x)
     doc = np.repeat(np.arange(len(x)), [len(i) for i in x])
     r = ratio[use]
     w, b = np.full(len(r), 0.02), float(np.log(n1 / n0))
-    weigh = np.where(y > 0, 0.5 / n1, 0.5 / n0)
+    scale = 1 / np.sqrt(1 + np.bincount(doc, minlength=len(y)))
+    weigh = np.where(y > 0, share / n1, (1 - share) / n0)
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, steps + 1):
-        z = np.bincount(doc, (w * r)[cols], len(y)) + b
+        z = np.bincount(doc, (w * r)[cols], len(y)) * scale + b
         err = weigh * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
-        g = r * np.bincount(cols, err[doc], len(r)) + l2 * w
+        g = r * np.bincount(cols, (err * scale)[doc], len(r)) + l2 * w
         gb = err.sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         a, c = 1 - 0.9**step, 1 - 0.999**step
-        w -= 0.01 * (m / a) / (np.sqrt(v / c) + 1e-8)
+        w -= rate * (m / a) / (np.sqrt(v / c) + 1e-8)
         b -= 0.05 * (mb / a) / (np.sqrt(vb / c) + 1e-8)
     weight = np.zeros(size, np.float32)
     weight[use] = w * r
-    return Model(weight, b)
+    return Model(weight, b, use)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = 1500, most_chars: int = 60_000) -> tuple[list[str], np.ndarray]:
+def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = 2000, most_chars: int = 60_000) -> tuple[list[str], np.ndarray]:
     """A bounded sample to fit on: of each class the ``per_class`` labelled rows, none held out, whose ids hash
     lowest, of texts up to ``most_chars`` (longer ones are scored but not learned from). Null labels are not used;
     of repeated labels the larger counts."""
