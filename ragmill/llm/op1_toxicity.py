@@ -99,11 +99,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = 2000, mos
     lowest, of texts up to ``most_chars`` (longer ones are scored but not learned from). Null labels are not used;
     of repeated labels the larger counts."""
     lab = labels.where(F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", "text").where(F.length("text") <= most_chars).join(lab, "doc_id")
-    got = []
+    # ids first, so that no task sends more texts than are used
+    which: dict = {}
     for c in (0, 1):
-        got += rows.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "text").limit(per_class).select("toxic", "text").collect()
-    return [r.text for r in got], np.array([r.toxic for r in got])
+        ids = docs.where(F.length("text") <= most_chars).select("doc_id").join(lab.where(F.col("toxic") == c), "doc_id")
+        which |= {r.doc_id: c for r in ids.select("doc_id").orderBy(F.xxhash64("doc_id")).limit(per_class).collect()}
+    got = docs.where(F.col("doc_id").isin(*which) & (F.length("text") <= most_chars)).select("doc_id", "text").collect() if which else []
+    got.sort(key=lambda r: (r.doc_id, r.text))
+    return [r.text for r in got], np.array([which[r.doc_id] for r in got])
 
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, threshold: float = 0.5) -> DataFrame:

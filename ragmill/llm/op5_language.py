@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ragmill.llm.common import held_out, table, text_buffers
 
 WINDOW = 64  # bytes the network reads at a time, from both ends
-HIDDEN = 10
+HIDDEN = 8
 PAD = 256  # symbol after the end of a text
 
 
@@ -175,10 +175,12 @@ def training_rows(docs: DataFrame, per_language: int = 400, languages: int = 200
     none held out, whose ids hash lowest, of texts up to ``most_chars``; all texts are labelled later."""
     rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & ~held_out())
     names = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
-    rows = rows.where(F.length("text").between(1, most_chars))
-    got = []
+    # ids first, so that no task sends more texts than are used
+    rows, ids = rows.where(F.length("text").between(1, most_chars)), []
     for name in names:
-        got += rows.where(F.col("lang") == name).orderBy(F.xxhash64("doc_id"), "text").limit(per_language).select("text", "lang").collect()
+        ids += [r.doc_id for r in rows.where(F.col("lang") == name).select("doc_id").orderBy(F.xxhash64("doc_id")).limit(per_language).collect()]
+    got = rows.where(F.col("doc_id").isin(*ids)).collect() if ids else []
+    got.sort(key=lambda r: (r.doc_id, r.lang, r.text))
     return [r.text for r in got], [r.lang for r in got]
 
 
