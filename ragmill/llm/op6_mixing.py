@@ -51,7 +51,8 @@ def tempered_targets(cells: DataFrame, temper=None) -> dict[str, DataFrame]:
     temper, out = temper or TEMPER, {}
     for d in DIMS:
         t = cells.groupBy(d).agg(F.sum("tokens").alias("t")).where("t > 0").select(d, F.pow(F.col("t").cast("double"), temper[d]).alias("t"))
-        out[d] = t.crossJoin(F.broadcast(t.agg(F.sum("t").alias("all")))).select(d, (F.col("t") / F.col("all")).alias("target"))
+        total = t.agg(F.sum("t")).first()[0] or 1.0
+        out[d] = t.select(d, (F.col("t") / F.lit(total)).alias("target"))
     return out
 
 
