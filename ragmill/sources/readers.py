@@ -67,7 +67,7 @@ def json_objects(spark: SparkSession, path: str) -> DataFrame:
                     at = end
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(out), pa.string()), pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.string())], names=["file", "line", "object"])
 
-    whole = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     return whole.mapInArrow(run, "file string, line int, object string")
 
 
@@ -84,7 +84,7 @@ def gold_questions(spark: SparkSession, path: str) -> DataFrame:
 def chunk_texts(spark: SparkSession, path: str) -> DataFrame:
     """(pos, text) of a JSON array of strings or of objects with page_content, text or content; blank ones are dropped."""
     try:
-        whole = spark.read.option("wholetext", "true").text(path)
+        whole = spark.read.text(path, wholetext=True)
     except AnalysisException:
         return spark.createDataFrame([], "pos int, text string")
     items = whole.select(F.posexplode(F.from_json("value", "array<string>")).alias("pos", "item"))
@@ -142,7 +142,7 @@ def blobs(spark: SparkSession, root: str) -> DataFrame:
 def json_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One row of a JSON file; nulls if it is missing or bad."""
     try:
-        return spark.read.option("wholetext", "true").text(path).select(F.from_json("value", schema).alias("j")).select("j.*")
+        return spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("j")).select("j.*")
     except AnalysisException:
         return spark.range(1).select(F.from_json(F.lit("{}"), schema).alias("j")).select("j.*")
 
