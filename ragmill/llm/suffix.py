@@ -28,8 +28,8 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     sorted_key = key[sa]
     head = np.concatenate(([True], sorted_key[1:] != sorted_key[:-1]))
     group = np.empty(n + depth, np.int64)
-    group[n:] = np.arange(n, n + depth)  # past the end: no two are alike
-    group[sa] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+    group[n:] = np.arange(depth, 0, -1)  # past the end: before all others, the further the earlier
+    group[sa] = np.maximum.accumulate(np.where(head, np.arange(n), 0)) + depth + 1
     slots = np.flatnonzero(~(head & np.append(head[1:], True)))
     h = min(8, depth)
     while h < depth and len(slots):
@@ -40,7 +40,7 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         mine, pair = mine[order], pair[order]
         sa[slots] = mine
         head = np.concatenate(([True], pair[1:] != pair[:-1]))
-        group[mine] = slots[np.maximum.accumulate(np.where(head, np.arange(len(slots)), 0))]
+        group[mine] = slots[np.maximum.accumulate(np.where(head, np.arange(len(slots)), 0))] + depth + 1
         slots = slots[~(head & np.append(head[1:], True))]
         h += step
     place = np.empty(n, np.int64)
