@@ -19,7 +19,7 @@ from ragmill.llm.common import materialize, table, text_buffers
 from ragmill.llm.components import components
 
 BLOCK_DOCS = 1024
-BLOCK_GRAMS = 1 << 20
+BLOCK_GRAMS = 1 << 21
 #: Buckets beyond the bound; a set with more empty ones also shows them.
 SPARE = 1
 
@@ -52,14 +52,20 @@ def shingles(text: bytes, width: int, words: Words) -> np.ndarray:
     g = np.full(len(h) - n + 1, n, np.uint64)
     for i in range(n):
         g = g * np.uint64(0x9E3779B97F4A7C15) + mixed(h[i : len(h) - n + 1 + i], 0xBF58476D1CE4E5B9)
-    return np.unique(mixed(g, 0xD6E8FEB86659FD93))
+    g = np.sort(mixed(g, 0xD6E8FEB86659FD93))
+    return g[np.concatenate(([True], g[1:] != g[:-1]))]
 
 
 class Scheme:
-    """Size classes, and buckets by class, of a threshold of ``percent`` hundredths."""
+    """Size classes, and buckets by class, of a threshold of ``percent`` hundredths.
+
+    With more buckets than need be, two sets that link agree in many: ``extra`` is how many more, by the bound on
+    their difference. A set that shares fewer with all others together links with none. Lower thresholds have
+    smaller buckets, which strangers share more often; this rules them out."""
 
     def __init__(self, percent: int):
         self.percent = percent
+        self.extra = 0.0 if percent >= 90 else 0.4
         # Sizes of two sets that link differ by a factor of at most 1/t: the same class, or the next.
         step, bounds = 100 / percent * 1.001, [1.0]
         while bounds[-1] < 1e10:
@@ -73,52 +79,85 @@ class Scheme:
         """Most n-grams in which two linked sets of classes group - 1 and group differ."""
         return int(np.ceil(self.bounds[group + 1])) * (100 - self.percent) // self.percent
 
-    def signatures(self, g: np.ndarray) -> np.ndarray:
-        """Hashes of the buckets, for the set's own class and the next."""
+    def signatures(self, g: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+        """(group, need, hashes of the buckets) for the set's own class and the next."""
         own, out = int(self.size_class(len(g))), []
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(g, 0xA0761D6478BD642F), dtype=np.uint64)))
         for group in (own, own + 1):
             d = self.differ(group)
             if not d:  # only equal sets link
                 continue
-            k = d + 1 + SPARE
+            k = d + 1 + SPARE + int(self.extra * d)
             # the sets are sorted, so that buckets by leading bits are runs
             cuts = np.searchsorted(g, (np.arange(1, k, dtype=np.float64) / k * 2.0**64).astype(np.uint64))
             cuts = np.concatenate(([0], cuts, [len(g)]))
             full = cuts[1:] > cuts[:-1]
             value = sums[cuts[1:]] - sums[cuts[:-1]]
             tag = mixed(np.arange(k, dtype=np.uint64) + np.uint64(group << 32), 0xE7037ED1A0B428DB)
-            show = full if k - np.count_nonzero(full) <= SPARE else np.ones(k, bool)
-            out.append(mixed(value[show] + tag[show], 0x8EBC6AF09C88C6E3))
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            # empty buckets agree with each other: while few, they are left out of sight and of the number needed
+            hidden = k - np.count_nonzero(full)
+            show, hidden = (full, hidden) if hidden <= SPARE else (np.ones(k, bool), 0)
+            out.append((group, k - d - hidden, mixed(value[show] + tag[show], 0x8EBC6AF09C88C6E3)))
+        return out
 
     def links(self, overlap, a, b):
         return self.percent * (a + b - overlap) <= 100 * overlap
 
 
-def fingerprints(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, s1, s2, sigs): size and digest of each set, and its bucket hashes."""
+def node_of(g: np.ndarray) -> int:
+    """A 63-bit digest of a set, which stands for it and all its copies."""
+    return int(mixed(g.sum(dtype=np.uint64, keepdims=True) ^ mixed(g, 0x589965CC75374CC3).sum(dtype=np.uint64), 0xD6E8FEB86659FD93)[0] >> np.uint64(1))
+
+
+def fingerprints(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, n, node): size and digest of each set; no node for an empty one."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        words = Words()
+        for t in text_buffers(batches, "text"):
+            g = [shingles(t.raw(i), width, words) for i in range(len(t))]
+            yield pa.RecordBatch.from_arrays([t.batch.column(0), pa.array([len(x) for x in g], pa.int64()), pa.array([node_of(x) if len(x) else None for x in g], pa.int64())], names=["doc_id", "n", "node"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long")
+
+
+def bucket_hashes(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(node, grp, need, sig): the buckets of each set; it needs to share ``need`` of a group's to link in it."""
 
     def run(batches):
         import pyarrow as pa
 
         words, scheme = Words(), Scheme(percent)
         for t in text_buffers(batches, "text"):
-            n, s1, s2, sigs, size = [], [], [], [], [0]
+            cols: list[list] = [[], [], [], []]
             for i in range(len(t)):
                 g = shingles(t.raw(i), width, words)
-                n.append(len(g))
-                s1.append(g.sum(dtype=np.uint64))
-                s2.append(mixed(g, 0x589965CC75374CC3).sum(dtype=np.uint64))
-                sigs.append(scheme.signatures(g) if len(g) else np.zeros(0, np.uint64))
-                size.append(size[-1] + len(sigs[-1]))
-            flat = pa.array(np.concatenate(sigs).view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [t.batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(s1, np.uint64).view(np.int64)), pa.array(np.array(s2, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(size, pa.int32()), flat)],
-                names=["doc_id", "n", "s1", "s2", "sigs"],
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, sigs array<long>")
+                if not len(g):
+                    continue
+                node = node_of(g)
+                for group, need, sigs in scheme.signatures(g):
+                    for c, x in zip(cols, (np.full(len(sigs), node), np.full(len(sigs), group, np.int32), np.full(len(sigs), need, np.int32), sigs.view(np.int64)), strict=True):
+                        c.append(x)
+            if cols[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["node", "grp", "need", "sig"])
+
+    return docs.where("doc_id IS NOT NULL").select("text").mapInArrow(run, "node long, grp int, need int, sig long")
+
+
+def candidates(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b) of nodes such that any two that link are joined by way of others: nodes that share a bucket with the
+    smallest that has it, once those are gone that share too few buckets to link at all."""
+    rows = bucket_hashes(docs, width, percent)
+    whole = W.partitionBy("sig")
+    rows = rows.withColumn("first", F.min("node").over(whole)).withColumn("last", F.max("node").over(whole)).where("first <> last")
+    shared = materialize(rows.select("node", "grp", "need", "sig").distinct(), "shared_buckets")
+    enough = shared.groupBy("node", "grp", "need").agg(F.count("*").alias("k")).where("k >= need").select("node", "grp")
+    alive = materialize(enough, "alive")
+    left = shared.join(alive, ["node", "grp"], "left_semi").select("node", "sig")
+    first = F.min("node").over(W.partitionBy("sig").orderBy("node").rowsBetween(W.unboundedPreceding, W.currentRow))
+    return left.select(F.col("node").alias("a"), first.alias("b")).where("a <> b").distinct()
 
 
 def overlaps(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray, scheme: Scheme, most: int = 1 << 22):
@@ -128,7 +167,7 @@ def overlaps(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray, scheme:
     size = np.array([len(s) for s in sets])
     flat = np.concatenate(sets)
     doc = np.repeat(np.arange(len(sets), dtype=np.int32), size)
-    order = np.argsort(flat, kind="stable")
+    order = np.argsort(flat)
     flat, doc = flat[order], doc[order]
     heads = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
     df = np.diff(np.append(heads, len(flat)))
@@ -245,24 +284,20 @@ def verified(docs: DataFrame, groups: DataFrame, width: int, percent: int) -> Da
 def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """(doc_id, n_shingles, component_id, links) of every row of ``docs`` (doc_id, text; others are ignored).
 
-    component_id is the smallest doc_id that links reach, itself included; links counts the documents with other
+    component_id is the smallest doc_id that links reach, itself included (documents of one set are one node,
+    and their smallest doc_id stands for it); links counts the documents with other
     sets it links with, where copies count once. Documents without words link with nothing. A null id has a null
     component and takes no part; rows that repeat an id share one component. An empty table gives an empty one.
     """
-    seen = materialize(fingerprints(docs, width, percent), "fingerprints")
-    key = ["n", "s1", "s2"]
-    classes = materialize(seen.where("n > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("rep")), "classes")
-    # each set once: buckets of the class's first document
-    own = seen.where("n > 0").select("doc_id", "sigs").join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sigs = own.select("doc_id", F.explode("sigs").alias("sig"))
-    first = F.min("doc_id").over(W.partitionBy("sig").orderBy("doc_id").rowsBetween(W.unboundedPreceding, W.currentRow))
-    near = sigs.select(F.col("doc_id").alias("a"), first.alias("b")).where("a <> b").distinct()
-    blocks = components(near)
-    links = materialize(verified(docs, blocks.withColumnRenamed("node", "doc_id"), width, percent), "links")
+    seen = materialize(fingerprints(docs, width), "fingerprints")
+    classes = materialize(seen.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep")), "classes")
+    blocks = components(candidates(docs, width, percent))
+    blocks = blocks.join(classes, "node").select(F.col("rep").alias("doc_id"), "component")
+    links = materialize(verified(docs, blocks, width, percent), "links")
     final = components(links.where("a <> b").select("a", "b"))
     degree = links.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     found = materialize(classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left"), "class_components")
-    return seen.select("doc_id", *key).join(found, key, "left").select(
+    return seen.join(found, "node", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id")).alias("component_id"),
