@@ -273,10 +273,10 @@ def remove_repeats(docs: DataFrame, length: int = 400, rewrite: bool = False, sh
     they stay null), null ids are as good as others, rows that repeat id and text are copies of each other,
     an empty table gives an empty one. Equality of pieces is by 64-bit hashes, of strings in a shard by bytes.
     """
-    keyed = docs.withColumn("row", F.xxhash64("doc_id", "text"))
-    runs = repeat_runs(keyed, length, shard_bytes, spread)
+    key = F.xxhash64("doc_id", "text")
+    runs = repeat_runs(docs.select(key.alias("row"), "text"), length, shard_bytes, spread).select(F.col("row").alias("__row"), F.col("runs").alias("__runs"))
     rest = [c for c in docs.columns if c != "text"] if rewrite else ["doc_id"]
-    full = keyed.join(runs, "row", "left").select("text", "runs", *rest)
+    full = docs.withColumn("__row", key).join(runs, "__row", "left").select("text", "__runs", *rest)
     columns = docs.columns
 
     def run(batches):
