@@ -157,7 +157,10 @@ def candidates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     alive = materialize(enough, "alive")
     left = shared.join(alive, ["node", "grp"], "left_semi").select("node", "sig")
     first = F.min("node").over(W.partitionBy("sig").orderBy("node").rowsBetween(W.unboundedPreceding, W.currentRow))
-    return left.select(F.col("node").alias("a"), first.alias("b")).where("a <> b").distinct()
+    stars = left.select(F.col("node").alias("a"), first.alias("b")).where("a <> b").distinct()
+    # a node with several centres joins them: through the smallest, so that all nodes of a family say the same
+    stars = stars.withColumn("c", F.min("b").over(W.partitionBy("a")))
+    return stars.select("a", F.col("c").alias("b")).union(stars.where("b <> c").select(F.col("b").alias("a"), F.col("c").alias("b"))).distinct()
 
 
 def overlaps(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray, scheme: Scheme, most: int = 1 << 22):
