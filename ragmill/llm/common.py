@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -32,6 +33,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def interpreted(spark: SparkSession):
+    """Loops over small tables run without generated code, which would outlive them in the driver's memory."""
+    names = {"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def held_out(doc_id="doc_id"):
     """crc32 of the id's decimal text, modulo 5, is 0."""
     return (F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5) == 0

@@ -47,7 +47,6 @@ class Model:
     bias: float
     used: np.ndarray
 
-
     def score(self, text: str, scratch: np.ndarray) -> float:
         g = grams(text, scratch)
         z = self.bias + float(self.weight[g].sum(dtype=np.float64)) / np.sqrt(1 + np.count_nonzero(self.used[g]))
@@ -56,22 +55,23 @@ class Model:
 
 def fit(texts: list[str], labels: np.ndarray, smooth: float = 1.0, l2: float = 1e-4, steps: int = 200, least_z: float = 4.0, share: float = 0.2, rate: float = 0.05) -> Model:
     """Binary features that tell the labels apart by ``least_z`` standard errors, times their log-count ratios,
-    over the root of how many a text has; ``share`` is the weight of label 1. Without rows of both labels the model is constant: the share of label 1, or 0 without any rows."""
+    over the root of how many a text has; ``share`` is the weight of label 1. Without rows of both labels the
+    model is constant: the share of label 1, or 0 without any rows."""
     size = 1 << BITS
     y = np.asarray(labels, np.float64)
     if len(y) == 0 or y.min() == y.max():
         return Model(np.zeros(size, np.float32), 40.0 if len(y) and y[0] > 0 else -40.0, np.zeros(size, bool))
     scratch = np.zeros(size, np.int32)
-    rows = [grams(t, scratch) for t in texts]
     n1, n0 = max(y.sum(), 1), max((1 - y).sum(), 1)
     df1, df0 = np.zeros(size), np.zeros(size)
-    for g, lab in zip(rows, y, strict=True):
-        (df1 if lab else df0)[g] += 1
+    for t, lab in zip(texts, y, strict=True):
+        (df1 if lab else df0)[grams(t, scratch)] += 1
     ratio = np.log((df1 + smooth) / (n1 + 2 * smooth)) - np.log((df0 + smooth) / (n0 + 2 * smooth))
     sure = np.abs(ratio) / np.sqrt(1 / (df1 + smooth) + 1 / (df0 + smooth))  # ratios in standard errors
     use = sure >= least_z
     to = np.cumsum(use) - 1
-    x = [to[g[use[g]]] for g in rows]
+    # all n-grams of all texts are never held at once
+    x = [to[g[use[g]]].astype(np.int32) for g in (grams(t, scratch) for t in texts)]
     cols = np.concatenate(x)
     doc = np.repeat(np.arange(len(x)), [len(i) for i in x])
     r = ratio[use]
@@ -94,7 +94,7 @@ def fit(texts: list[str], labels: np.ndarray, smooth: float = 1.0, l2: float = 1
     return Model(weight, b, use)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = 2000, most_chars: int = 60_000) -> tuple[list[str], np.ndarray]:
+def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = 1500, most_chars: int = 60_000) -> tuple[list[str], np.ndarray]:
     """A bounded sample to fit on: of each class the ``per_class`` labelled rows, none held out, whose ids hash
     lowest, of texts up to ``most_chars`` (longer ones are scored but not learned from). Null labels are not used;
     of repeated labels the larger counts."""

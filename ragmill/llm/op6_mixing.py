@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragmill.llm.common import materialize, table
+from ragmill.llm.common import interpreted, materialize, table
 
 DIMS = ("source", "lang", "topic")
 #: Exponent of each dimension's token shares in its target: below 1, large parts give to small ones.
@@ -98,7 +98,9 @@ def mix(docs: DataFrame, keep: float = KEEP, targets: dict[str, DataFrame] | Non
     docs = with_cells(docs)
     cells = docs.groupBy(*(F.col(f"_{d}").alias(d) for d in DIMS)).agg(F.sum("_tokens").alias("tokens"))
     cells = materialize(cells, "cells")
-    prob = calibrate(rake(cells, targets or tempered_targets(cells)), keep)
+    with interpreted(docs.sparkSession):
+        raked = rake(cells, targets or tempered_targets(cells))
+        prob = materialize(calibrate(raked, keep), "probabilities")
     prob = prob.select(*(F.col(d).alias(f"_{d}") for d in DIMS), F.col("prob").alias("_prob"))
     return docs.join(prob, [f"_{d}" for d in DIMS]).where((F.col("_tokens") > 0) & (unit(F.col("doc_id")) < F.col("_prob")))
 
