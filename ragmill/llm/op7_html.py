@@ -3,8 +3,8 @@
 Pages are parsed once into blocks, each with the path of its element. The trees of all pages of a host
 merge by path: a path's presentation importance is the entropy of its child sequences over the host's
 pages, its content importance one minus the mean entropy of the texts below it (a text that stands on
-every page has entropy 1, one that stands on a single page 0). Branches of low importance go, then a plain
-check removes what HTML itself names as no main text.
+every page has entropy 1, one that stands on a single page 0). Branches of low importance go, within articles
+too, then a plain check removes what HTML itself names as no main text.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ SIDE = frozenset("nav aside footer form button select dialog menu head input lab
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}}
 SCOPE = frozenset("html body table ul ol dl div section article main td th nav aside".split())
 ENDS_P = BLOCK - {"html", "body", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "select"}
+#: Ends the path step of an article's root; no class name has a blank.
+ROOT = " main"
 SIDE_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adsense|sponsor(?:ed)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|nav|navbar|navigation|menus?|breadcrumbs?|sidebar|side|widget|footer|header|masthead|topbar|comments?|comment-list|respond|disqus|replies|share|sharing|social|related|recommend(?:ed|ations)?|newsletter|subscribe|subscription|signup|login|search|popup|modal|overlay|notices?|alert|disclaimer|pagination|pager|tags|toolbar|skip)(?:$|[\s_-])", re.I)
 
 
@@ -116,14 +118,17 @@ def parse(page: str) -> tuple[list[tuple[str, bool, bool, str]], list[tuple[str,
                     named += " " + value
                 elif name == "id":
                     named += " " + value
-        key = tag + "".join("." + w for w in sorted(set(named.split()))) if named and tag in BLOCK else tag
-        if tag in BLOCK:
+        root = tag in ("article", "main") or role in ("article", "main")
+        key = tag + "".join("." + w for w in sorted(set(named.split()))) if named and (tag in BLOCK or root) else tag
+        if root:
+            key += ROOT
+        if tag in BLOCK or root:
             children.setdefault(path, []).append(key)
             path = f"{path}/{key}"
         side = side or hidden or tag in SIDE or tag == "header" and not article or role in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu")
         if named and tag not in ("html", "body", "article", "main"):
             side = side or bool(SIDE_NAME.search(named))
-        stack.append((tag, path, side, article or tag in ("article", "main") or role in ("article", "main")))
+        stack.append((tag, path, side, article or root))
     flush()
     return blocks, [(path, " ".join(k for i, k in enumerate(keys) if not i or keys[i - 1] != k)) for path, keys in children.items()]
 
@@ -175,18 +180,24 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     """(id, url, text, n_chars) of every page; null or empty html gives an empty text.
 
     A branch's importance is (1 - gamma) * content + gamma * presentation. Where a host has ``least_pages``
-    pages, branches below ``least`` are removed, but for the document itself, articles and what they hold.
-    Then go elements that HTML or their class names as no main text; a page with an article keeps what is in it.
+    pages, branches below ``least`` are removed, within articles and outside, but for the document itself and
+    the roots of articles: an article in such a branch stays. An article that would lose all its text (a host full
+    of copies of one page) keeps it. Then go elements that HTML or their class names as no main text; a page with
+    an article keeps only what is left in it.
     Pages without a host are one host. Repeated rows stay, an empty table gives an empty one.
     """
     parsed = materialize(parsed_pages(pages, id_col, url_col, html_col).withColumn("host", host_of(F.col(url_col))), "pages")
     tree = style_trees(parsed).where((F.col("pages") >= least_pages) & ((1 - gamma) * F.col("content") + gamma * F.col("presentation") < least))
-    tree = tree.where(~F.col("path").rlike(r"(^|/)(article|main)([./]|$)") & ~F.col("path").rlike(r"^/?(html[^/]*)?(/body[^/]*)?$"))
+    tree = tree.where(~F.col("path").endswith(ROOT) & ~F.col("path").rlike(r"^/?(html[^/]*)?(/body[^/]*)?$"))
     low = materialize(tree.groupBy("host").agg(F.collect_set("path").alias("low")), "low_branches")
     full = parsed.join(low, "host", "left")
+    # below a low branch, and no root of an article between
+    under = lambda path, p: F.startswith(F.concat(path, F.lit("/")), F.concat(p, F.lit("/"))) & ~F.contains(F.substring(path, F.length(p) + 1, F.length(path)), F.lit(ROOT))
+    pruned = lambda b: F.coalesce(F.exists("low", lambda p: under(b.path, p)), F.lit(False))
+    full = full.withColumn("blocks", F.transform("blocks", lambda b: F.struct(b.side.alias("side"), b.article.alias("article"), b.text.alias("text"), pruned(b).alias("pruned"))))
     in_article = F.exists("blocks", lambda b: b.article & ~b.side)
-    pruned = F.exists(F.coalesce("low", F.array().cast("array<string>")), lambda p: F.lit(True))
-    keep = lambda b: ~b.side & (b.article | ~in_article) & ~(pruned & ~b.article & F.coalesce(F.exists("low", lambda p: F.startswith(F.concat(b.path, F.lit("/")), F.concat(p, F.lit("/")))), F.lit(False)))
+    left = F.exists("blocks", lambda b: b.article & ~b.side & ~b.pruned)
+    keep = lambda b: ~b.side & (b.article | ~in_article) & ~(b.pruned & (left | ~b.article))
     text = F.array_join(F.transform(F.filter("blocks", keep), lambda b: b.text), "\n")
     return full.select(id_col, url_col, text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 

@@ -189,6 +189,16 @@ def test_style_tree_removes_what_all_pages_share(spark):
     assert all(r.text.startswith("Every page") for r in few)
 
 
+def test_style_tree_works_in_articles(spark):
+    page = lambda i, root: f"<html><body><div class='wrap'><p>Site name</p><{root}><div class='x1'><p>All pages say this</p></div><h1>Page {i}</h1><p>It says {i * i}</p></{root.split()[0]}></div></body></html>"
+    pages = [(i, f"http://{host}/{i}", page(i, root)) for host, root in (("a", "article"), ("b", "main class='c/d'"), ("c", "div role=main"), ("d", "my-page role=main")) for i in range(20)]
+    pages += [(100 + i, f"http://e/{i}", page(7, "article")) for i in range(20)]
+    got = op7_html.extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert all(r.text == f"Page {r.page_id}\nIt says {r.page_id ** 2}" for r in got if r.page_id < 100)
+    # copies of one page keep their article
+    assert {r.text for r in got if r.page_id >= 100} == {"All pages say this\nPage 7\nIt says 49"}
+
+
 # ---------------------------------------------------------------- chat
 
 
