@@ -196,6 +196,45 @@ def test_decontamination(spark):
     assert {r.doc_id for r in kept.collect()} == set(range(160)) - {i for i, _ in got}
 
 
+def test_most_common():
+    rng = random.Random(1)
+    known = op10_decontaminate.Vocabulary()
+    items = [op10_decontaminate.Item(k, [rng.choice([b"a", b"b", b"c", b"d"]) for _ in range(n)]) for k, n in enumerate((1, 5, 30, 63, 64, 65))]
+    text = [rng.choice([b"a", b"b", b"c", b"d", b"e"]) for _ in range(200)]
+    raw = np.frombuffer(b" ".join(text), np.uint8)
+    folded = (known.buckets(raw, np.array([0, len(raw)]))[0] // op10_decontaminate.FOLD).astype(np.int64)
+    k, lo = np.arange(6), np.array([0, 150, 20, 0, 100, 0])
+    got = op10_decontaminate.most_common(op10_decontaminate.bucket_masks(items, known), np.array([x.n for x in items]), k, folded, lo, lo + 50)
+    want = [op10_decontaminate.common(x.masks, x.n, text[a : a + 50]) for x, a in zip(items, lo.tolist(), strict=True)]
+    assert got[:5].tolist() == want[:5] and got[5] == 65
+
+
+def test_decontamination_finds_what_judge_accepts(spark, monkeypatch):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(4000)]
+    common = [f"c{i}" for i in range(40)]
+    prose = lambda n: [rng.choice(common) if rng.random() < 0.5 else rng.choice(words) for _ in range(n)]
+    items = [op10_decontaminate.Item(k, [w.encode() for w in prose(n)]) for k, n in enumerate((15, 20, 27, 31, 32, 38, 48, 59, 64, 70) * 3)]
+    texts, want = [" ".join(prose(200)) for _ in range(300)], []
+    for share in (0.0, 0.2, 0.3, 0.4, 0.45, 0.5):
+        for item in items:
+            for kind in range(4):
+                leak = list(item.words)
+                for at in rng.sample(range(item.n), round(share * item.n)):
+                    leak[at] = b"new%d" % rng.randrange(10**9) if kind % 2 else rng.choice(words + common).encode()
+                if op10_decontaminate.judge(item, leak):
+                    want.append((len(texts), item.id, share))
+                    texts.append(" ".join([*prose(rng.randrange(60)), *(w.decode() for w in leak), *prose(rng.randrange(60))]))
+    sample = op10_decontaminate.fit_sample
+    monkeypatch.setattr(op10_decontaminate, "fit_sample", lambda docs: sample(docs, 200))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(x.id, b" ".join(x.words).decode()) for x in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in op10_decontaminate.leaks(docs, bench).collect()}
+    for share in sorted({x[2] for x in want}):
+        some = [(i, k) in got for i, k, s in want if s == share]
+        assert len(some) >= 20 and sum(some) >= 0.95 * len(some), (share, sum(some), len(some))
+
+
 def test_decontamination_odd(spark):
     bench = spark.createDataFrame([(1, "a b c d"), (2, None)], "item_id long, text string")
     got = op10_decontaminate.leaks(odd(spark), bench).collect()
