@@ -94,9 +94,10 @@ class Scheme:
             full = cuts[1:] > cuts[:-1]
             value = sums[cuts[1:]] - sums[cuts[:-1]]
             tag = mixed(np.arange(k, dtype=np.uint64) + np.uint64(group << 32), 0xE7037ED1A0B428DB)
-            # empty buckets agree with each other: while few, they are left out of sight and of the number needed
+            # empty buckets agree with each other: while few, they are left out of sight and of the number needed.
+            # A set that shows all of its own may share up to SPARE with one that hides them.
             hidden = k - np.count_nonzero(full)
-            show, hidden = (full, hidden) if hidden <= SPARE else (np.ones(k, bool), 0)
+            show, hidden = (full, hidden) if hidden <= SPARE else (np.ones(k, bool), SPARE)
             out.append((group, k - d - hidden, mixed(value[show] + tag[show], 0x8EBC6AF09C88C6E3)))
         return out
 

@@ -75,6 +75,21 @@ def test_jaccard_odd(spark):
     assert kept.columns == odd(spark).columns and {r.doc_id for r in kept.collect()} == {1, 2, 3, 5, 6}
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_linked_sets_share_enough_buckets(percent):
+    """However few buckets a set fills: what it shares with any that it links with is no less than it needs."""
+    rng, scheme = np.random.default_rng(7), op2_jaccard.Scheme(percent)
+    for n in (4, 5, 8, 9, 10, 12) * 300:
+        whole = np.sort(rng.integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1))
+        part = np.delete(whole, rng.choice(n, n * (100 - percent) // 100, replace=False))
+        if not scheme.links(len(part), n, len(part)) or n == len(part):
+            continue
+        a, b = ({g: (need, set(s.tolist())) for g, need, s in scheme.signatures(x)} for x in (whole, part))
+        group = max(int(scheme.size_class(n)), int(scheme.size_class(len(part))))
+        if group in a and group in b:
+            assert len(a[group][1] & b[group][1]) >= max(a[group][0], b[group][0]) >= 1
+
+
 def test_links_are_counted(spark):
     base = [f"w{i}" for i in range(200)]
     texts = [" ".join(base)] + [" ".join(base[:k] + ["x"] + base[k + 1 :]) for k in (10, 50, 190)] + [" ".join(base)]
