@@ -310,7 +310,8 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` but those that link, however far, with one of a smaller doc_id; all columns as they were."""
+    """The rows of ``docs`` but those that link, however far, with one of a smaller doc_id; all columns as they were.
+    Rows of a null id take no part and are left out: a caller that wants them adds them."""
     found = jaccard_components(docs, width, percent)
     keep = found.where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(keep, "doc_id", "left_semi")

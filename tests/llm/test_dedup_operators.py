@@ -261,6 +261,19 @@ def test_decontamination_odd(spark):
 # ---------------------------------------------------------------- pipeline
 
 
+def test_stages_keep_documents_without_an_id(spark, sf):
+    import corpus_pipeline as p
+
+    rng = random.Random(2)
+    text = lambda: " ".join(f"w{rng.randrange(900)}" for _ in range(80))
+    item, one, two = text(), text(), text()
+    docs = spark.createDataFrame([(1, one), (2, one), (None, two), (None, f"{text()} {item}"), (3, f"{item} {text()}")], "doc_id long, text string")
+    kept = p.near_duplicates(spark, docs, sf).collect()
+    assert sorted((r.doc_id, r.text == two) for r in kept if r.doc_id) == [(1, False), (3, False)] and sum(r.doc_id is None for r in kept) == 2
+    clean = op10_decontaminate.without_leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in clean) == [(0, two), (1, one), (2, one)]
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as p
 
