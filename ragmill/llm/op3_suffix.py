@@ -253,6 +253,35 @@ def repeat_runs(docs: DataFrame, length: int, shard_bytes: int = SHARD_BYTES, sp
     return hits.select("row", moved.alias("runs")).groupBy("row").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
+def stretch_runs(docs: DataFrame, words: int, length: int) -> DataFrame:
+    """(row, runs): the stretches of ``words`` words in fewer than ``length`` bytes that stand elsewhere too, by
+    64-bit hashes: in another row, or in the same without overlap. A run's hi is where the stretch ends, less
+    ``length``."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        roll, letter = Rolling(), np.ones(256, bool)
+        letter[[9, 10, 11, 12, 13, 32]] = False
+        for t in text_buffers(batches, "text"):
+            keys = t.batch.column(0).to_numpy()
+            for i in np.flatnonzero(np.diff(t.offs) >= 2 * words - 1):
+                b = t.data[t.offs[i] : t.offs[i + 1]]
+                edge = np.diff(np.concatenate(([False], letter[b], [False])).astype(np.int8))
+                lo, hi = np.flatnonzero(edge == 1)[: -words + 1 or None], np.flatnonzero(edge == -1)[words - 1 :]
+                some = hi - lo < length if len(hi) else np.zeros(0, bool)
+                if some.any():
+                    lo, hi = lo[some], hi[some]
+                    h = roll.spans(roll.sums(b), lo, hi)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(lo), keys[i])), pa.array(h.view(np.int64)), pa.array(lo), pa.array(hi - length)], names=["row", "hash", "lo", "hi"])
+
+    found = materialize(docs.select("row", "text").mapInArrow(run, "row long, hash long, lo long, hi long"), "stretches")
+    at = found.groupBy("hash", "row", "lo").agg(F.count("*").alias("n"), F.first("hi").alias("hi"))
+    again = at.groupBy("hash").agg(F.min("row").alias("a"), F.max("row").alias("b"), F.max("n").alias("n"), F.max("lo").alias("last"), (F.min("hi") + length).alias("end"))
+    again = again.where("a < b OR n > 1 OR last >= end").select("hash")
+    return found.join(again, "hash").groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+
+
 def spans_of(lo: np.ndarray, hi: np.ndarray, length: int, size: int) -> np.ndarray:
     """Which of ``size`` bytes lie in a string of ``length`` bytes that starts in one of the runs."""
     edge = np.zeros(size + 1, np.int32)
@@ -264,9 +293,10 @@ def spans_of(lo: np.ndarray, hi: np.ndarray, length: int, size: int) -> np.ndarr
 FIELDS = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string"}
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, rewrite: bool = False, shard_bytes: int = SHARD_BYTES, spread: int = SPREAD) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, rewrite: bool = False, shard_bytes: int = SHARD_BYTES, spread: int = SPREAD, words: int | None = None) -> DataFrame:
     """Each row of ``docs`` (doc_id, text) with the bytes removed that lie in a string of ``length`` bytes which
     starts anywhere else; all copies go, strings are judged on the input, matches never cross documents.
+    With ``words``, stretches of so many words that are shorter than ``length`` go likewise.
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``rewrite`` all columns as they were and the
     rest of the text, a character going if one of its bytes does. Null texts count as empty (with ``rewrite``
@@ -274,7 +304,11 @@ def remove_repeats(docs: DataFrame, length: int = 400, rewrite: bool = False, sh
     an empty table gives an empty one. Equality of pieces is by 64-bit hashes, of strings in a shard by bytes.
     """
     key = F.xxhash64("doc_id", "text")
-    runs = repeat_runs(docs.select(key.alias("row"), "text"), length, shard_bytes, spread).select(F.col("row").alias("__row"), F.col("runs").alias("__runs"))
+    rows = docs.select(key.alias("row"), "text")
+    runs = repeat_runs(rows, length, shard_bytes, spread)
+    if words:
+        runs = runs.unionByName(stretch_runs(rows, words, length)).groupBy("row").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    runs = runs.select(F.col("row").alias("__row"), F.col("runs").alias("__runs"))
     rest = [c for c in docs.columns if c != "text"] if rewrite else ["doc_id"]
     full = docs.withColumn("__row", key).join(runs, "__row", "left").select("text", "__runs", *rest)
     columns = docs.columns

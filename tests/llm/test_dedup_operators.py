@@ -261,6 +261,19 @@ def test_decontamination_odd(spark):
 # ---------------------------------------------------------------- pipeline
 
 
+def test_repeats_of_short_words(spark, sf):
+    import corpus_pipeline as p
+
+    rng = random.Random(4)
+    short = lambda n: " ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    yes, no, inner = short(51), short(50), short(60)
+    texts = [f"one {yes} two", f"three\n{yes}", f"four {no} five", f"six {no} seven", f"é {inner} x {inner}", None, yes[:-1] + "é", short(400), "the " * 60]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars int")
+    got = {r.doc_id: (r.text, r.n_chars) for r in p.repeats(spark, docs, sf).collect()}
+    want = ["one  two", "three\n", *texts[2:4], "é  x ", None, *texts[6:]]
+    assert {i: got[i][0] for i in got} == dict(enumerate(want)) and all(n is None or n == len(t) for t, n in got.values())
+
+
 def test_stages_keep_documents_without_an_id(spark, sf):
     import corpus_pipeline as p
 
