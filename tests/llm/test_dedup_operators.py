@@ -250,6 +250,15 @@ def test_decontamination_finds_what_judge_accepts(spark, monkeypatch):
         assert len(some) >= 20 and sum(some) >= 0.95 * len(some), (share, sum(some), len(some))
 
 
+def test_decontamination_pages_through_rows_of_one_id(spark, monkeypatch):
+    monkeypatch.setattr(op10_decontaminate, "ITEMS_AT_ONCE", 3)
+    texts = [" ".join(f"{c}{i}" for i in range(20)) for c in "abcdefgh"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, t) for t in texts] + [(1, texts[0])] * 4 + [(2, texts[0]), (1, None), (None, texts[1])], "item_id long, text string")
+    got = Counter((r.doc_id, r.item_id) for r in op10_decontaminate.leaks(docs, bench).collect())
+    assert got == {(0, 1): 5, (0, 2): 1, **{(i, 1): 1 for i in range(1, 8)}}
+
+
 def test_decontamination_odd(spark):
     bench = spark.createDataFrame([(1, "a b c d"), (2, None)], "item_id long, text string")
     got = op10_decontaminate.leaks(odd(spark), bench).collect()
