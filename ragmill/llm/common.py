@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import contextlib
 import tempfile
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,9 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. The session names it; only where it is unset (tests) a local one is made."""
+    """The folder all executors share. The session names it; only where it is unset, and driver and executors are one
+    process (tests), a local one is made."""
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not there:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors share.")
         there = "file://" + tempfile.mkdtemp(prefix="ragmill-")
         spark.sparkContext.setCheckpointDir(there)
     return there
@@ -30,21 +34,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ragmill-{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._ragmill_path = path
+    return back
 
 
-@contextlib.contextmanager
-def interpreted(spark: SparkSession):
-    """Loops over small tables run without generated code, which would outlive them in the driver's memory."""
-    names = {"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"}
-    before = {k: spark.conf.get(k, None) for k in names}
-    try:
-        for k, v in names.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``materialize`` wrote, once all that was made from it is written itself."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._ragmill_path).getParent()
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores as make it none of the columns'."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def held_out(doc_id="doc_id"):
@@ -52,6 +59,24 @@ def held_out(doc_id="doc_id"):
     return (F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5) == 0
 
 
+def bounded_sample(rows: DataFrame, group: str, key: str, most: int) -> list:
+    """Rows of ``rows``, at most ``most`` of each value of ``group`` (of which there are few), those whose ``key`` hashes
+    lowest. Groups are counted first, so that about four times ``most`` rows of each pass a threshold and are ranked, in one
+    pass for all groups. A group of so few keys that too few rows pass is ranked as a whole."""
+    sizes = {r[0]: r[1] for r in rows.groupBy(group).count().collect() if r[0] is not None}
+    span, place = 1 << 30, free_name(rows, "place")
+    nth = F.row_number().over(W.partitionBy(group).orderBy(place, *rows.columns))
+    hashed = rows.withColumn(place, F.pmod(F.xxhash64(key), F.lit(span)))
+    best = lambda near: near.withColumn(place, nth).where(F.col(place) <= most).select(*rows.columns).collect()
+    if not sizes:
+        return []
+    share = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, int(min(1.0, 4 * most / n) * span))))
+    got = best(hashed.where(F.col(place) < F.element_at(share, F.col(group))))
+    count = Counter(r[group] for r in got)
+    few = [k for k, n in sizes.items() if count[k] < min(most, n)]
+    return [r for r in got if r[group] not in few] + (best(hashed.where(F.col(group).isin(*few))) if few else [])
+
+
 class Texts:
     """Some whole texts as one byte buffer: text i is ``data[offs[i]:offs[i + 1]]``; null counts as empty."""
 

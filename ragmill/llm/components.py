@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragmill.llm.common import materialize
+from ragmill.llm.common import discard, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -20,9 +20,12 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         now = labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
         if now == total:
+            discard(both)
             return labels
         total = now
         near = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("component").alias("component"))
         near = materialize(near.union(labels).groupBy("node").agg(F.min("component").alias("component")), "near")
         up = near.select(F.col("node").alias("component"), F.col("component").alias("up"))
+        old = labels
         labels = materialize(near.join(up, "component").select("node", F.col("up").alias("component")), "labels")
+        discard(old, near)

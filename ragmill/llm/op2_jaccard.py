@@ -15,11 +15,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ragmill.llm.common import materialize, table, text_buffers
+from ragmill.llm.common import discard, materialize, table, text_buffers
 from ragmill.llm.components import components
 
-BLOCK_DOCS = 1024
+#: Sets and n-grams of a block at most. A family that fills FINE blocks of the small size or fewer takes small ones.
+BLOCK_DOCS, SMALL_DOCS, FINE = 1024, 256, 8
 BLOCK_GRAMS = 1 << 21
+#: Sets of a family that stand for it: what links with one of them, or with one that does, is joined already.
+PIVOTS = 8
+SALTS = 64
+#: Digests of texts that a task remembers, so that a copy is cut into buckets once.
+REMEMBER = 1 << 16
 #: Buckets beyond the bound; a set with more empty ones also shows them.
 SPARE = 1
 
@@ -125,40 +131,54 @@ def fingerprints(docs: DataFrame, width: int) -> DataFrame:
 
 
 def bucket_hashes(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(node, grp, need, sig): the buckets of each set; it needs to share ``need`` of a group's to link in it."""
+    """(side, need, sigs): the buckets of a set in its own class or the next, and how many it needs to share there to
+    link. A side is twice the node, plus one for the next class. A task passes a text on once, as far as it remembers;
+    what it passes on again changes nothing but the work."""
 
     def run(batches):
         import pyarrow as pa
+        import xxhash
 
-        words, scheme = Words(), Scheme(percent)
+        words, scheme, seen = Words(), Scheme(percent), set()
         for t in text_buffers(batches, "text"):
-            cols: list[list] = [[], [], [], []]
+            side, need, sigs = [], [], []
             for i in range(len(t)):
-                g = shingles(t.raw(i), width, words)
+                raw = t.raw(i)
+                key = xxhash.xxh3_128_intdigest(raw)
+                if key in seen:
+                    continue
+                if len(seen) < REMEMBER:
+                    seen.add(key)
+                g = shingles(raw, width, words)
                 if not len(g):
                     continue
-                node = node_of(g)
-                for group, need, sigs in scheme.signatures(g):
-                    for c, x in zip(cols, (np.full(len(sigs), node), np.full(len(sigs), group, np.int32), np.full(len(sigs), need, np.int32), sigs.view(np.int64)), strict=True):
-                        c.append(x)
-            if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["node", "grp", "need", "sig"])
+                own, node = int(scheme.size_class(len(g))), node_of(g)
+                for group, least, sig in scheme.signatures(g):
+                    side.append((node << 1 | int(group != own)) - (1 << 63))
+                    need.append(least)
+                    sigs.append(sig.view(np.int64))
+            if side:
+                offs = np.concatenate(([0], np.cumsum([len(x) for x in sigs]))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(side, pa.int64()), pa.array(need, pa.int32()), pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(sigs)))], names=["side", "need", "sigs"])
 
-    return docs.where("doc_id IS NOT NULL").select("text").mapInArrow(run, "node long, grp int, need int, sig long")
+    return docs.where("doc_id IS NOT NULL").select("text").mapInArrow(run, "side long, need int, sigs array<long>")
 
 
 def candidates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b) of nodes such that any two that link are joined by way of others: nodes that share a bucket with the
-    smallest that has it, once those are gone that share too few buckets to link at all."""
-    rows = bucket_hashes(docs, width, percent)
+    smallest that has it, once those are gone that share too few buckets to link at all.
+
+    The one large shuffle carries a side, a number and a bucket; a bucket of very many sets spills, and is not held."""
+    rows = bucket_hashes(docs, width, percent).select("side", "need", F.explode("sigs").alias("sig"))
     whole = W.partitionBy("sig")
-    rows = rows.withColumn("first", F.min("node").over(whole)).withColumn("last", F.max("node").over(whole)).where("first <> last")
-    shared = materialize(rows.select("node", "grp", "need", "sig").distinct(), "shared_buckets")
-    enough = shared.groupBy("node", "grp", "need").agg(F.count("*").alias("k")).where("k >= need").select("node", "grp")
+    rows = rows.withColumn("first", F.min("side").over(whole)).withColumn("last", F.max("side").over(whole)).where("first <> last")
+    shared = materialize(rows.select("side", "need", "sig").distinct(), "shared_buckets")
+    enough = shared.groupBy("side", "need").agg(F.count("*").alias("k")).where("k >= need").select("side")
     alive = materialize(enough, "alive")
-    left = shared.join(alive, ["node", "grp"], "left_semi").select("node", "sig")
+    left = shared.join(alive, "side", "left_semi").select((F.shiftright("side", 1) + (1 << 62)).alias("node"), "sig")
     first = F.min("node").over(W.partitionBy("sig").orderBy("node").rowsBetween(W.unboundedPreceding, W.currentRow))
-    stars = left.select(F.col("node").alias("a"), first.alias("b")).where("a <> b").distinct()
+    stars = materialize(left.select(F.col("node").alias("a"), first.alias("b")).where("a <> b").distinct(), "stars")
+    discard(shared, alive)
     # a node with several centres joins them: through the smallest, so that all nodes of a family say the same
     stars = stars.withColumn("c", F.min("b").over(W.partitionBy("a")))
     return stars.select("a", F.col("c").alias("b")).union(stars.where("b <> c").select(F.col("b").alias("a"), F.col("c").alias("b"))).distinct()
@@ -229,8 +249,58 @@ def local_roots(m: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = new
 
 
-def verified(docs: DataFrame, groups: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b, links): for each document with links in a block, the block's smallest it is joined with, and how many."""
+def by_component(rows: DataFrame, few: DataFrame, how: str) -> DataFrame:
+    """``rows`` joined with a table of one row a component, which is dealt SALTS times, so that a component of very many rows
+    lies in many tasks."""
+    salt = F.pmod(F.xxhash64("doc_id", "n"), F.lit(SALTS)).cast("int")
+    few = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", salt).join(few, ["component", "salt"], how).drop("salt")
+
+
+def with_pivots(rows: DataFrame, scheme: Scheme) -> DataFrame:
+    """``rows`` (doc_id, component, cls, n, grams) with centres: the pivots that a set links with, each named by the
+    smallest pivot that it is joined with through pivots. Components of more than SMALL_DOCS sets have PIVOTS pivots, those
+    whose ids hash lowest; smaller ones have none. Rows are dealt to blocks, and pivots go to each block: a component's
+    work here is in proportion to its size."""
+    sizes = rows.groupBy("component").agg(F.count("*").alias("docs")).where(F.col("docs") > SMALL_DOCS)
+    sizes = materialize(sizes.select("component", F.ceil(F.col("docs") / SMALL_DOCS).cast("int").alias("cuts")), "large_components")
+    large = by_component(rows, sizes, "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("cuts")).cast("int"), F.lit(-1)))
+    nth = F.row_number().over(W.partitionBy("component").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    pivots = by_component(rows, sizes, "inner").withColumn("nth", nth).where(F.col("nth") <= PIVOTS)
+    pivots = materialize(pivots.select("component", "cuts", "doc_id", "grams"), "pivots").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+
+    def centres(mine, theirs):
+        import pyarrow as pa
+
+        sets = lambda t: [np.frombuffer(x, np.uint64) for x in t.column("grams").to_pylist()]
+        name = theirs.column("doc_id").to_numpy()
+        order = np.argsort(name, kind="stable")
+        name, pivot = name[order], [sets(theirs)[k] for k in order]
+        own = sets(mine)
+        every = own + pivot
+        size = np.array([len(x) for x in every])
+        flat, heads = np.concatenate(every), np.cumsum(size) - size
+        linked = np.zeros((len(every), len(pivot)), bool)
+        for k, g in enumerate(pivot):
+            overlap = np.add.reduceat((g[np.minimum(np.searchsorted(g, flat), len(g) - 1)] == flat).astype(np.int64), heads)
+            linked[:, k] = scheme.links(overlap, size, len(g))
+        i, j = np.nonzero(linked[len(own) :])
+        root = name[local_roots(len(pivot), i, j)]
+        got = [sorted(set(root[x].tolist())) for x in linked[: len(own)]]
+        return mine.select(["doc_id", "component", "cls", "n", "grams"]).append_column("centres", pa.array(got, pa.list_(pa.int64())))
+
+    some = large.where("block >= 0").groupBy("component", "block").cogroup(pivots.select("component", "block", "doc_id", "grams").groupBy("component", "block"))
+    done = some.applyInArrow(centres, "doc_id long, component long, cls int, n long, grams binary, centres array<long>")
+    rest = large.where("block < 0").select("doc_id", "component", "cls", "n", "grams", F.array().cast("array<long>").alias("centres"))
+    return done.unionByName(rest)
+
+
+def verified(docs: DataFrame, groups: DataFrame, width: int, percent: int, count: bool = True) -> DataFrame:
+    """(a, b, links): for each document with links in a block, the block's smallest it is joined with, and how many.
+
+    With ``count`` every pair of compatible size is counted in some block. Without, only what joins matters: sets that
+    link with the commonest pivot of their component are joined already and are compared with the others alone, so that
+    a family costs its size times its pivots and its outsiders; links are then no full number."""
     scheme = Scheme(percent)
 
     def sets_of(batches):
@@ -247,15 +317,32 @@ def verified(docs: DataFrame, groups: DataFrame, width: int, percent: int) -> Da
 
     rows = docs.select("doc_id", "text").join(groups, "doc_id").select("doc_id", "text", "component")
     rows = materialize(rows.mapInArrow(sets_of, "doc_id long, component long, cls int, n long, grams binary"), "sets")
-    rows = rows.withColumn("grp", F.explode(F.array(F.col("cls"), F.col("cls") + 1)))
-    sizes = rows.groupBy("component", "grp").agg(F.count("*").alias("docs"), F.sum("n").alias("all"), F.max("cls").alias("top"))
+    if count:
+        joined, rows = None, rows.withColumn("settled", F.lit(False))
+    else:
+        first = rows
+        rows = materialize(with_pivots(rows, scheme), "centred")
+        discard(first)
+        joined = rows.select(F.col("doc_id").alias("a"), F.explode("centres").alias("b"), F.lit(1).cast("long").alias("links"))
+        own = F.get("centres", F.lit(0))
+        often = rows.groupBy("component", own.alias("centre")).agg(F.count("*").alias("k")).where("centre IS NOT NULL")
+        often = often.groupBy("component").agg(F.max_by("centre", F.struct("k", "centre")).alias("centre"))
+        rows = by_component(rows, materialize(often, "centres"), "left").withColumn("settled", F.coalesce(own == F.col("centre"), F.lit(False)))
+    rows = rows.select("doc_id", "component", "cls", "n", "grams", "settled").withColumn("grp", F.explode(F.array(F.col("cls"), F.col("cls") + 1)))
+    sizes = rows.groupBy("component", "grp").agg(
+        F.count("*").alias("docs"), F.count_if(~F.col("settled")).alias("new"), F.sum("n").alias("all"), F.sum(F.when(~F.col("settled"), F.col("n")).otherwise(0)).alias("new_all"), F.max("cls").alias("top")
+    )
     # a group without documents of its upper class compares nothing that the group below does not
-    sizes = sizes.where((F.col("docs") > 1) & (F.col("top") == F.col("grp")))
-    cuts = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("all") / BLOCK_GRAMS)).cast("int")
-    sizes = materialize(sizes.select("component", "grp", F.greatest(F.lit(1), cuts).alias("cuts")), "block_sizes")
+    sizes = sizes.where((F.col("docs") > 1) & (F.col("new") > 0) & (F.col("top") == F.col("grp")))
+    parts = lambda n, grams: F.greatest(F.least(F.ceil(n / SMALL_DOCS), F.lit(FINE)), F.ceil(n / BLOCK_DOCS), F.ceil(grams / BLOCK_GRAMS)).cast("int")
+    new, old = parts(F.col("new"), F.col("new_all")), parts(F.col("docs") - F.col("new"), F.col("all") - F.col("new_all"))
+    sizes = materialize(sizes.select("component", "grp", new.alias("new"), old.alias("old")), "block_sizes")
     rows = rows.join(sizes, ["component", "grp"])
-    mine = F.pmod(F.xxhash64("doc_id"), F.col("cuts")).cast("int")
-    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    # blocks of new sets come first and meet all blocks; those of settled ones meet these only
+    deal = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
+    mine = F.when(F.col("settled"), F.col("new") + deal(F.col("old"))).otherwise(deal(F.col("new")))
+    last = F.when(F.col("settled"), F.col("new")).otherwise(F.col("new") + F.col("old")) - 1
+    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     rows = rows.select("doc_id", "component", "cls", "grp", "grams", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
 
     def compare(block):
@@ -282,24 +369,25 @@ def verified(docs: DataFrame, groups: DataFrame, width: int, percent: int) -> Da
         some = np.flatnonzero(count)
         return pa.table({"a": ids[some], "b": ids[root[some]], "links": count[some]})
 
-    return rows.groupBy("component", "grp", "lo", "hi").applyInArrow(compare, "a long, b long, links long")
+    found = rows.groupBy("component", "grp", "lo", "hi").applyInArrow(compare, "a long, b long, links long")
+    return found if joined is None else found.unionByName(joined)
 
 
-def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, count: bool = True) -> DataFrame:
     """(doc_id, n_shingles, component_id, links) of every row of ``docs`` (doc_id, text; others are ignored).
 
     component_id is the smallest doc_id that links reach, itself included (documents of one set are one node,
     and their smallest doc_id stands for it); links counts the documents with other
-    sets it links with, where copies count once. Documents without words link with nothing. A null id has a null
+    sets it links with, where copies count once (without ``count`` only whether there are any). Documents without words link with nothing. A null id has a null
     component and takes no part; rows that repeat an id share one component. An empty table gives an empty one.
     """
     seen = materialize(fingerprints(docs, width), "fingerprints")
     classes = materialize(seen.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep")), "classes")
     blocks = components(candidates(docs, width, percent))
     blocks = blocks.join(classes, "node").select(F.col("rep").alias("doc_id"), "component")
-    links = materialize(verified(docs, blocks, width, percent), "links")
+    links = materialize(verified(docs, blocks, width, percent, count), "links")
     final = components(links.where("a <> b").select("a", "b"))
-    degree = links.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
+    degree = links.groupBy(F.col("a").alias("rep")).agg((F.sum if count else F.max)("links").alias("links"))
     found = materialize(classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left"), "class_components")
     return seen.join(found, "node", "left").select(
         "doc_id",
@@ -311,10 +399,11 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` but those that link, however far, with one of a smaller doc_id; all columns as they were.
-    Rows of a null id take no part and are left out: a caller that wants them adds them."""
-    found = jaccard_components(docs, width, percent)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi")
+    Rows of a null id and rows without words link with nothing and stay; rows that repeat an id stay or go together.
+    Very long texts count with all their shingles, an empty table gives an empty one."""
+    found = jaccard_components(docs, width, percent, count=False)
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,12 +67,38 @@ def test_jaccard(spark, seed, width, percent, monkeypatch):
     assert got == brute_components(texts, width, percent)
 
 
+@pytest.mark.parametrize(("seed", "width", "percent", "knobs"), [(5, 5, 80, {}), (6, 5, 80, {"SMALL_DOCS": 3, "BLOCK_DOCS": 4, "PIVOTS": 2}), (7, 3, 90, {"SMALL_DOCS": 2, "FINE": 2, "BLOCK_DOCS": 3, "PIVOTS": 1}), (8, 2, 70, {"SMALL_DOCS": 4, "REMEMBER": 2})])
+def test_jaccard_by_pivots(spark, seed, width, percent, knobs, monkeypatch):
+    for k, v in knobs.items():
+        monkeypatch.setattr(op2_jaccard, k, v)
+    texts = families(seed)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute_components(texts, width, percent)
+    got = op2_jaccard.jaccard_components(df, width, percent, count=False).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert {r.doc_id for r in op2_jaccard.one_of_each(df, width, percent).collect()} == {i for i, (_, c) in want.items() if c == i}
+
+
+def test_jaccard_of_one_large_family(spark):
+    """Near copies in a chain of drifts: few link with a pivot, all are one class."""
+    rng = random.Random(1)
+    words, texts = [f"w{i}" for i in range(120)], []
+    for k in range(900):
+        if k % 3 == 0:
+            words[rng.randrange(len(words))] = f"x{k}"
+        texts.append(" ".join(words[: 115 + k % 5]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute_components(texts, 3, 90)
+    for count in (True, False):
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in op2_jaccard.jaccard_components(df, 3, 90, count).collect()} == want
+
+
 def test_jaccard_odd(spark):
     got = [tuple(r)[:3] for r in op2_jaccard.jaccard_components(odd(spark)).collect()]
     assert sorted(got, key=str) == sorted([(1, 0, 1), (2, 0, 2), (3, 1, 3), (4, 1, 3), (None, 2, None), (5, 0, 5), (6, 1, 6), (7, 1, 6)], key=str)
     assert op2_jaccard.jaccard_components(odd(spark).limit(0)).count() == 0
     kept = op2_jaccard.one_of_each(odd(spark))
-    assert kept.columns == odd(spark).columns and {r.doc_id for r in kept.collect()} == {1, 2, 3, 5, 6}
+    assert kept.columns == odd(spark).columns and {r.doc_id for r in kept.collect()} == {1, 2, 3, None, 5, 6}
 
 
 @pytest.mark.parametrize("percent", [80, 90])
@@ -148,10 +174,47 @@ def brute_removal(texts, length):
 def test_repeats(spark, seed, length, knobs):
     texts = [*families(seed, 60, 90), "é" * 700, "ab" * 600, "abcabc", None, "", "q" * length]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: tuple(r)[1:] for r in op3_suffix.remove_repeats(df, length, **knobs).collect()}
+    got = {r.doc_id: tuple(r)[1:5] for r in op3_suffix.remove_repeats(df, length, **knobs).collect()}
     assert [got[i] for i in range(len(texts))] == brute_removal(texts, length)
 
 
+def brute_passages(texts, words):
+    where = defaultdict(list)
+    for i, t in enumerate(texts):
+        w = (t or "").encode().split()
+        for at in range(len(w) - words + 1):
+            where[tuple(w[at : at + words])].append((i, at))
+    out = set()
+    for v in where.values():
+        if len({i for i, _ in v}) > 1 or v[-1][1] - v[0][1] >= words:
+            out |= {i for i, _ in v}
+    return out
+
+
+@pytest.mark.parametrize(("seed", "words"), [(1, 51), (2, 20), (3, 4)])
+def test_passages(spark, seed, words, monkeypatch):
+    rng = random.Random(seed)
+    one = " ".join(f"p{rng.randrange(50)}" for _ in range(words))
+    # white space may differ; in one text twice, with and without overlap; one word short
+    own = " ".join(f"q{i}" for i in range(words))
+    texts = [*families(seed, 60, 90), f"a {one} b", one.replace(" ", "\n\t"), f"{own} {own}", " ".join(["z"] * (words + 1)), " ".join(["y"] * 2 * words), own.rsplit(" ", 1)[0], None, "", " "]
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    assert {r.row for r in op3_suffix.passage_rows(rows, words).collect()} == brute_passages(texts, words)
+    got = op3_suffix.remove_repeats(rows.withColumnRenamed("row", "doc_id"), 400, passages=words).collect()
+    gone = {i for i, x in enumerate(brute_removal(texts, 400)) if x[1]}
+    assert {r.doc_id for r in got if r.repeated} == brute_passages(texts, words) | gone and {r.doc_id for r in got if r.n_removed} == gone
+    assert op3_suffix.passage_rows(rows.limit(0), words).count() == 0
+
+
+def test_periodic_text_is_cut(spark, monkeypatch):
+    monkeypatch.setattr(op3_suffix, "CUT", 100)
+    texts = ["ab" * 1000, "x" + "ab" * 300, "abc" * 500, "q" * 99, "bc" * 30]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: tuple(r)[1:5] for r in op3_suffix.remove_repeats(df, 60, shard_bytes=2000, spread=3).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_removal(texts, 60)
+    assert op3_suffix.cut_runs(np.array([0, 5]), 305, 100).tolist() == [0, 5, 105, 205]
+
+
 def test_repeats_odd(spark):
     got = op3_suffix.remove_repeats(odd(spark), 400).collect()
     assert len(got) == len(ODD) and {r.n_bytes for r in got if r.doc_id in (1, 2)} == {0}
