@@ -9,11 +9,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragmill.llm.common import held_out, table, text_buffers
+from ragmill.llm.common import bounded_sample, held_out, table, text_buffers
 
-WINDOW = 64  # bytes the network reads at a time, from both ends
-HIDDEN = 8
-PAD = 256  # symbol after the end of a text
+#: Bytes that are labelled at a time, and bytes before and behind that the states are brought up on.
+WINDOW, CONTEXT = 128, 16
+HIDDEN = 10
+PAD = 256  # symbol before and behind a text
 
 
 def init(classes: int, hidden: int = HIDDEN, seed: int = 7) -> dict[str, np.ndarray]:
@@ -74,13 +75,13 @@ def back(x, e, u, tape, dstates, de, du):
         dh = dh * z + drh * r + dzr @ u[:, : 2 * k].T
 
 
-def forward(p, x, keep=False):
-    """Label probabilities of every position: (steps, lanes, classes)."""
+def forward(p, x, keep=False, body=slice(None)):
+    """Label probabilities of every position in ``body``: (steps, lanes, classes)."""
     f, tf = scan(x, p["ef"], p["uf"], keep)
     b, tb = scan(x[::-1], p["eb"], p["ub"], keep)
     k = f.shape[2]
-    logits = f @ p["o"][:k]
-    logits += b[::-1] @ p["o"][k:]
+    logits = f[body] @ p["o"][:k]
+    logits += b[::-1][body] @ p["o"][k:]
     logits += p["ob"]
     logits -= logits.max(axis=2, keepdims=True)
     np.exp(logits, out=logits)
@@ -110,17 +111,15 @@ def gradients(p, x, y):
 
 
 def windows(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols (WINDOW, lanes) of all whole texts, cut every WINDOW bytes, and each lane's text."""
+    """Symbols (CONTEXT + WINDOW + CONTEXT, lanes) of all whole texts, a lane for every WINDOW bytes, and each lane's
+    text. The bytes around come from the same text, so that no character is cut where it is labelled."""
     n = np.diff(offs)
     per = -(-n // WINDOW)
     doc = np.repeat(np.arange(len(n)), per)
-    inner = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
-    x = np.full((len(doc), WINDOW), PAD, np.int16)
-    at = np.arange(len(data)) - np.repeat(offs[:-1], n)
-    lane = np.repeat(np.cumsum(per) - per, n) + at // WINDOW
-    x[lane, at % WINDOW] = data
-    assert inner.size == doc.size
-    return np.ascontiguousarray(x.T), doc
+    first = (np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)) * WINDOW - CONTEXT
+    at = first + np.arange(WINDOW + 2 * CONTEXT)[:, None]
+    inside = (at >= 0) & (at < n[doc])
+    return np.where(inside, np.append(data, 0).take(offs[:-1][doc] + at, mode="clip"), PAD).astype(np.int16), doc
 
 
 @dataclass
@@ -133,17 +132,18 @@ class Model:
         x, doc = windows(data, offs)
         out = np.zeros((len(offs) - 1, len(self.languages)))
         for at in range(0, len(doc), lanes):
-            part = x[:, at : at + lanes]
-            prob, _ = forward(self.params, part)
-            prob[part == PAD] = 0
+            part = np.ascontiguousarray(x[:, at : at + lanes])
+            prob, _ = forward(self.params, part, body=slice(CONTEXT, CONTEXT + WINDOW))
+            prob[part[CONTEXT : CONTEXT + WINDOW] == PAD] = 0
             sums = prob.sum(axis=0, dtype=np.float64)
             for c in range(out.shape[1]):
                 out[:, c] += np.bincount(doc[at : at + lanes], sums[:, c], len(out))
         return out / np.maximum(1, np.diff(offs))[:, None]
 
 
-def fit(texts: list[str], langs: list[str], steps: int = 240, lanes: int = 512, seed: int = 11) -> Model:
-    """Adam over random windows, languages drawn evenly. No rows: a model that only knows ``und``."""
+def fit(texts: list[str], langs: list[str], steps: int = 240, lanes: int = 512, seed: int = 11, width: int = 64) -> Model:
+    """Adam over random windows of ``width`` bytes that may begin before a text and end behind it, languages drawn
+    evenly. No rows: a model that only knows ``und``."""
     names = sorted(set(langs))
     if not names:
         return Model(["und"], init(1))
@@ -154,12 +154,12 @@ def fit(texts: list[str], langs: list[str], steps: int = 240, lanes: int = 512,
     p = init(len(names))
     m, v = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
     for step in range(1, steps + 1):
-        x, y = np.full((lanes, WINDOW), PAD, np.int16), rng.integers(0, len(names), lanes)
+        x, y = np.full((lanes, width), PAD, np.int16), rng.integers(0, len(names), lanes)
         for i, c in enumerate(y):
             r = pools[c][rng.integers(len(pools[c]))]
-            at = rng.integers(max(1, len(r) - WINDOW // 2))
-            part = r[at : at + WINDOW]
-            x[i, : len(part)] = part
+            at = int(rng.integers(-CONTEXT, max(1, len(r) - width // 2)))
+            part = r[max(0, at) : at + width]
+            x[i, max(0, -at) : max(0, -at) + len(part)] = part
         _, g = gradients(p, np.ascontiguousarray(x.T), y)
         rate = 0.02 * min(1, 2 * (1 - step / (steps + 1)))
         for k in p:
@@ -170,23 +170,22 @@ def fit(texts: list[str], langs: list[str], steps: int = 240, lanes: int = 512,
     return Model(names, p)
 
 
-def training_rows(docs: DataFrame, per_language: int = 400, languages: int = 200, most_chars: int = 20_000) -> tuple[list[str], list[str]]:
-    """A bounded sample to fit on: of each of the ``languages`` commonest languages the ``per_language`` rows,
-    none held out, whose ids hash lowest, of texts up to ``most_chars``; all texts are labelled later."""
-    rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & ~held_out())
-    names = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
-    # ids first, so that no task sends more texts than are used
-    rows, ids = rows.where(F.length("text").between(1, most_chars)), []
-    for name in names:
-        ids += [r.doc_id for r in rows.where(F.col("lang") == name).select("doc_id").orderBy(F.xxhash64("doc_id")).limit(per_language).collect()]
-    got = rows.where(F.col("doc_id").isin(*ids)).collect() if ids else []
-    got.sort(key=lambda r: (r.doc_id, r.lang, r.text))
-    return [r.text for r in got], [r.lang for r in got]
+def training_rows(docs: DataFrame, per_language: int = 400, excerpt: int = 4000) -> tuple[list[str], list[str]]:
+    """A bounded sample to fit on: of every language ``per_language`` rows, none held out, whose ids hash lowest, and of
+    each an excerpt of ``excerpt`` characters from anywhere in the text; all of all texts is labelled later. Rows that
+    repeat an id do not make it more."""
+    rows = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out())
+    start = F.pmod(F.xxhash64("doc_id", "lang"), F.greatest(F.lit(1), F.length("text") - excerpt + 1)) + 1
+    rows = rows.select("doc_id", "lang", F.substr("text", start, F.lit(excerpt)).alias("part"))
+    got = sorted(bounded_sample(rows, "lang", "doc_id", per_language), key=lambda r: (r.doc_id, r.lang, r.part))
+    return [r.part for r in got], [r.lang for r in got]
 
 
 def identify_language(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) of every whole text: the language of the largest pooled probability and that
-    probability. ``und`` with score 0 if the text is null or has no letter. An empty table gives an empty one."""
+    probability. ``und`` with score 0 if the text is null or has no letter. Very long texts are labelled in windows, all
+    of them; of languages that tie the first by name counts; rows that repeat give rows that repeat; other columns are
+    ignored; an empty table gives an empty one."""
     schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double"
 
     def run(batches):
