@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragmill.llm.common import held_out, table, text_buffers
+from ragmill.llm.common import bounded_sample, held_out, table, text_buffers
 
 ORDERS = (3, 5, 7)
 BITS = 18
@@ -53,7 +53,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def fit(texts: list[str], labels: np.ndarray, smooth: float = 1.0, l2: float = 1e-4, steps: int = 200, least_z: float = 4.0, share: float = 0.2, rate: float = 0.05) -> Model:
+def fit(texts: list[str], labels: np.ndarray, smooth: float = 1.0, l2: float = 1e-4, steps: int = 200, least_z: float = 3.0, share: float = 0.25, rate: float = 0.05) -> Model:
     """Binary features that tell the labels apart by ``least_z`` standard errors, times their log-count ratios,
     over the root of how many a text has; ``share`` is the weight of label 1. Without rows of both labels the
     model is constant: the share of label 1, or 0 without any rows."""
@@ -95,23 +95,23 @@ def fit(texts: list[str], labels: np.ndarray, smooth: float = 1.0, l2: float = 1
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = 1500, most_chars: int = 60_000) -> tuple[list[str], np.ndarray]:
-    """A bounded sample to fit on: of each class the ``per_class`` labelled rows, none held out, whose ids hash
+    """A bounded sample to fit on: of each class the ``per_class`` labelled documents, none held out, whose ids hash
     lowest, of texts up to ``most_chars`` (longer ones are scored but not learned from). Null labels are not used;
-    of repeated labels the larger counts."""
-    lab = labels.where(F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    of repeated labels the larger counts, of repeated documents the text that sorts first."""
+    lab = labels.where(F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    short = docs.where(F.length("text") <= most_chars)
     # ids first, so that no task sends more texts than are used
-    which: dict = {}
-    for c in (0, 1):
-        ids = docs.where(F.length("text") <= most_chars).select("doc_id").join(lab.where(F.col("toxic") == c), "doc_id")
-        which |= {r.doc_id: c for r in ids.select("doc_id").orderBy(F.xxhash64("doc_id")).limit(per_class).collect()}
-    got = docs.where(F.col("doc_id").isin(*which) & (F.length("text") <= most_chars)).select("doc_id", "text").collect() if which else []
-    got.sort(key=lambda r: (r.doc_id, r.text))
+    ids = short.select("doc_id").join(lab, "doc_id").distinct()
+    which = {r.doc_id: r.toxic for r in bounded_sample(ids, "toxic", "doc_id", per_class)}
+    got = short.where(F.col("doc_id").isin(*which)).groupBy("doc_id").agg(F.min("text").alias("text")).collect() if which else []
+    got.sort(key=lambda r: r.doc_id)
     return [r.text for r in got], np.array([which[r.doc_id] for r in got])
 
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, threshold: float = 0.5) -> DataFrame:
-    """(id, score, predicted) of every whole text; null counts as empty. With ``keep`` the rows of ``docs``
-    below ``threshold`` come back instead, all columns as they were. Equal texts get equal scores."""
+    """(id, score, predicted) of every whole text, however long; null counts as empty. With ``keep`` the rows of ``docs``
+    below ``threshold`` come back instead, all columns as they were. Equal texts get equal scores, rows that repeat give
+    rows that repeat, an empty table gives an empty one; other columns are ignored."""
     schema = docs.schema if keep else f"{id_col} {docs.schema[id_col].dataType.simpleString()}, score double, predicted int"
     cols = docs.columns if keep else [id_col, text_col]
 
