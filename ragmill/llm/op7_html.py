@@ -17,27 +17,42 @@ from pyspark.sql import functions as F
 
 from ragmill.llm.common import materialize, table
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: An attribute as HTML reads it: quotes count where a value begins, and nowhere else. One that never ends is no attribute.
+VALUE = r"""(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]++)"""
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:{VALUE}|(?=>)))?+)*+)[^>]*+(?:>|\Z)", re.S)
+ATTR = re.compile(rf"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+({VALUE})?+)?+", re.S)
 # Element names of HTML by how they behave.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param frame".split())
 RAW = frozenset("script style noscript template textarea title svg math iframe object canvas xmp noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul caption head".split())
-SIDE = frozenset("nav aside footer form button select dialog menu head input label fieldset".split())
+SIDE = frozenset("nav aside footer button select dialog menu head input label fieldset".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}}
 SCOPE = frozenset("html body table ul ol dl div section article main td th nav aside".split())
 ENDS_P = BLOCK - {"html", "body", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "select"}
-#: Ends the path step of an article's root; no class name has a blank.
-ROOT = " main"
+#: Levels of elements that are branches of their own; what lies deeper belongs to the branch at that level.
+DEEP = 64
+#: Pages of a host that weigh as much as the prior belief that a branch is content.
+PRIOR = 6
 SIDE_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adsense|sponsor(?:ed)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|nav|navbar|navigation|menus?|breadcrumbs?|sidebar|side|widget|footer|header|masthead|topbar|comments?|comment-list|respond|disqus|replies|share|sharing|social|related|recommend(?:ed|ations)?|newsletter|subscribe|subscription|signup|login|search|popup|modal|overlay|notices?|alert|disclaimer|pagination|pager|tags|toolbar|skip)(?:$|[\s_-])", re.I)
 
 
-def parse(page: str) -> tuple[list[tuple[str, bool, bool, str]], list[tuple[str, str]]]:
-    """Blocks (path, side, within an article, text) in page order, and (path, child sequence) of each element kind."""
-    blocks: list[tuple[str, bool, bool, str]] = []
-    children: dict[str, list[str]] = {}
-    # stack of (tag, path, side, article)
-    stack = [("", "", False, False)]
+def branch(parent: int, key: str) -> int:
+    """The id of an element's branch: a hash of its parent's and its own kind, so that paths take the same room at any depth."""
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(key.encode("utf-8", "replace"), parent & (2**64 - 1)) - (1 << 63)
+
+
+def parse(page: str) -> tuple[list[tuple], dict[int, tuple], list[tuple]]:
+    """Blocks (branch, side, within a form, within an article, text) in page order; of each block's branch the branches
+    from the document down to it, and how many of them are the last root of an article or above; of each branch a hash of
+    its child sequence, and whether it is the document or such a root."""
+    blocks: list[tuple] = []
+    leaves: dict[int, tuple] = {}
+    children: dict[int, list[str]] = {0: []}
+    fixed = {0}
+    # stack of (tag, branches, roots, side, form, article)
+    stack = [("", (0,), 1, False, False, False)]
     buffer: list[str] = []
 
     def flush():
@@ -45,8 +60,9 @@ def parse(page: str) -> tuple[list[tuple[str, bool, bool, str]], list[tuple[str,
             text = " ".join(html.unescape("".join(buffer)).split())
             buffer.clear()
             if text:
-                _, path, side, article = next(x for x in reversed(stack) if x[0] in BLOCK or not x[0])
-                blocks.append((path, side, article, text))
+                _, chain, roots, side, form, article = next(x for x in reversed(stack) if x[0] in BLOCK or not x[0])
+                leaves[chain[-1]] = (chain, roots)
+                blocks.append((chain[-1], side, form, article, text))
 
     def pop_to(n: int):
         if any(x[0] in BLOCK for x in stack[n:]):
@@ -105,51 +121,58 @@ def parse(page: str) -> tuple[list[tuple[str, bool, bool, str]], list[tuple[str,
                     break
         if tag in BLOCK:
             flush()
-        _, path, side, article = stack[-1]
+        _, chain, roots, side, form, article = stack[-1]
         named, role, hidden = "", "", False
-        if m[3]:
-            for name, a, b, c in ATTR.findall(m[3]):
-                name, value = name.lower(), a or b or c
-                if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-                    hidden = True
-                elif name == "role":
-                    role = value.lower()
-                elif name == "class":
-                    named += " " + value
-                elif name == "id":
-                    named += " " + value
+        for name, value in ATTR.findall(m[3]):
+            name = name.lower()
+            if name in ("class", "id", "role", "aria-hidden"):
+                value = value[1:-1] if value[:1] in ("'", '"') and len(value) > 1 else value
+            if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+                hidden = True
+            elif name == "role":
+                role = value.lower()
+            elif name in ("class", "id"):
+                named += " " + value
         root = tag in ("article", "main") or role in ("article", "main")
-        key = tag + "".join("." + w for w in sorted(set(named.split()))) if named and (tag in BLOCK or root) else tag
-        if root:
-            key += ROOT
         if tag in BLOCK or root:
-            children.setdefault(path, []).append(key)
-            path = f"{path}/{key}"
+            key = tag + "".join("." + w for w in sorted(set(named.split()))) + (" main" if root else "")
+            children[chain[-1]].append(key)
+            if len(chain) < DEEP:
+                chain = (*chain, branch(chain[-1], key))
+                children.setdefault(chain[-1], [])
+            if root or tag in ("html", "body"):
+                fixed.add(chain[-1])
+            if root:
+                roots = len(chain)
+        form = form or tag == "form"
         side = side or hidden or tag in SIDE or tag == "header" and not article or role in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu")
-        if named and tag not in ("html", "body", "article", "main"):
+        if named and tag not in ("html", "body", "article", "main", "form"):
             side = side or bool(SIDE_NAME.search(named))
-        stack.append((tag, path, side, article or root))
+        stack.append((tag, chain, roots, side, form, article or root))
     flush()
-    return blocks, [(path, " ".join(k for i, k in enumerate(keys) if not i or keys[i - 1] != k)) for path, keys in children.items()]
+    return blocks, leaves, [(at, branch(0, " ".join(k for i, k in enumerate(keys) if not i or keys[i - 1] != k)), at in fixed) for at, keys in children.items()]
 
 
 def parsed_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    schema = f"{id_col} {pages.schema[id_col].dataType.simpleString()}, {url_col} string, blocks array<struct<path:string,side:boolean,article:boolean,text:string>>, nodes array<struct<path:string,style:string>>"
+    """Id and url, a key of the page, its blocks, the chains of their branches, and the nodes of its tree."""
+    schema = f"""{id_col} {pages.schema[id_col].dataType.simpleString()}, {url_col} string, key long, blocks array<struct<leaf:long,side:boolean,form:boolean,article:boolean,text:string>>,
+      leaves array<struct<leaf:long,chain:array<long>,roots:int>>, nodes array<struct<branch:long,style:long,fixed:boolean>>"""
 
     def run(batches):
         import pyarrow as pa
 
-        block = pa.list_(pa.struct([("path", pa.string()), ("side", pa.bool_()), ("article", pa.bool_()), ("text", pa.string())]))
-        node = pa.list_(pa.struct([("path", pa.string()), ("style", pa.string())]))
+        block = pa.list_(pa.struct([("leaf", pa.int64()), ("side", pa.bool_()), ("form", pa.bool_()), ("article", pa.bool_()), ("text", pa.string())]))
+        leaf = pa.list_(pa.struct([("leaf", pa.int64()), ("chain", pa.list_(pa.int64())), ("roots", pa.int32())]))
+        node = pa.list_(pa.struct([("branch", pa.int64()), ("style", pa.int64()), ("fixed", pa.bool_())]))
+        named = lambda kind, rows: [{f.name: v for f, v in zip(kind.value_type, r, strict=True)} for r in rows]
         for whole in batches:
             for at in range(0, whole.num_rows, 200):
                 b = whole.slice(at, 200)
                 done = [parse(x or "") for x in b.column(2).to_pylist()]
-                blocks = [[dict(zip(("path", "side", "article", "text"), y, strict=True)) for y in x[0]] for x in done]
-                nodes = [[dict(zip(("path", "style"), y, strict=True)) for y in x[1]] for x in done]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.string()), pa.array(blocks, block), pa.array(nodes, node)], names=[id_col, url_col, "blocks", "nodes"])
+                arrays = [pa.array([named(block, x[0]) for x in done], block), pa.array([named(leaf, [(k, *v) for k, v in x[1].items()]) for x in done], leaf), pa.array([named(node, x[2]) for x in done], node)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.string()), b.column(3), *arrays], names=[id_col, url_col, "key", "blocks", "leaves", "nodes"])
 
-    return pages.select(id_col, url_col, html_col).mapInArrow(run, schema)
+    return pages.select(id_col, url_col, html_col, F.xxhash64(id_col, url_col, html_col).alias("key")).mapInArrow(run, schema)
 
 
 def host_of(url) -> F.Column:
@@ -157,44 +180,58 @@ def host_of(url) -> F.Column:
 
 
 def style_trees(parsed: DataFrame) -> DataFrame:
-    """(host, path, pages, presentation, content): importance of every branch of each host's merged tree."""
-    each = parsed.select("host", F.explode(F.array_distinct("nodes")).alias("n"))
-    styles = each.groupBy("host", F.col("n.path").alias("path"), F.xxhash64("n.style").alias("style")).agg(F.count("*").alias("k"))
-    look = styles.groupBy("host", "path").agg(F.sum("k").alias("pages"), F.sum(F.col("k") * F.log("k")).alias("klogk"))
+    """(host, branch, pages, presentation, content, fixed): importance of every branch of each host's merged tree.
+
+    Entropies are over the host's pages and normalised by their number. ``pages`` pages are believed against PRIOR pages on
+    which nothing repeats: a text that stands on all of n pages makes a leaf's content 1 - n / (n + PRIOR)."""
+    each = parsed.select("host", F.explode("nodes").alias("n"))
+    styles = each.groupBy("host", F.col("n.branch").alias("branch"), F.col("n.style").alias("style")).agg(F.count("*").alias("k"), F.max("n.fixed").alias("fixed"))
+    look = styles.groupBy("host", "branch").agg(F.sum("k").alias("pages"), F.sum(F.col("k") * F.log("k")).alias("klogk"), F.max("fixed").alias("fixed"))
     look = look.withColumn("presentation", F.when(F.col("pages") > 1, (F.log("pages") - F.col("klogk") / F.col("pages")) / F.log("pages")).otherwise(1.0))
-    texts = parsed.select("host", F.explode(F.array_distinct(F.transform("blocks", lambda b: F.struct(b.path.alias("path"), F.xxhash64(b.text).alias("text"))))).alias("b"))
-    texts = texts.groupBy("host", F.col("b.path").alias("leaf"), F.col("b.text").alias("text")).agg(F.count("*").alias("k"))
+    texts = parsed.select("host", F.explode(F.array_distinct(F.transform("blocks", lambda b: F.struct(b.leaf.alias("leaf"), F.xxhash64(b.text).alias("text"))))).alias("b"))
+    texts = texts.groupBy("host", F.col("b.leaf").alias("leaf"), F.col("b.text").alias("text")).agg(F.count("*").alias("k"))
     leaves = texts.groupBy("host", "leaf").agg(F.count("*").alias("n"), F.sum(F.log("k")).alias("logk"))
     # every branch above a leaf, the leaf among them
-    parts = F.split("leaf", "/")
-    above = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
-    branches = leaves.withColumn("path", F.explode(F.when(F.size(parts) >= 2, above).otherwise(F.array("leaf"))))
-    branches = branches.groupBy("host", "path").agg(F.sum("n").alias("n"), F.sum("logk").alias("logk"))
+    branches = leaf_chains(parsed).join(leaves, ["host", "leaf"]).withColumn("branch", F.explode("chain"))
+    branches = branches.groupBy("host", "branch").agg(F.sum("n").alias("n"), F.sum("logk").alias("logk"))
     total = parsed.groupBy("host").agg(F.count("*").alias("host_pages"))
-    joined = branches.join(total, "host").join(look.select("host", "path", "presentation"), ["host", "path"], "left")
-    content = F.when(F.col("host_pages") > 1, F.greatest(F.lit(0.0), 1 - F.col("logk") / F.col("n") / F.log("host_pages"))).otherwise(1.0)
-    return joined.select("host", "path", F.col("host_pages").alias("pages"), F.coalesce("presentation", F.lit(0.0)).alias("presentation"), content.alias("content"))
+    joined = branches.join(total, "host").join(look.select("host", "branch", "presentation", "fixed"), ["host", "branch"], "left")
+    entropy = F.when(F.col("host_pages") > 1, F.least(F.lit(1.0), F.col("logk") / F.col("n") / F.log("host_pages"))).otherwise(0.0)
+    content = 1 - entropy * F.col("host_pages") / (F.col("host_pages") + PRIOR)
+    return joined.select("host", "branch", F.col("host_pages").alias("pages"), F.coalesce("presentation", F.lit(0.0)).alias("presentation"), content.alias("content"), F.coalesce("fixed", F.lit(False)).alias("fixed"))
+
+
+def leaf_chains(parsed: DataFrame) -> DataFrame:
+    """(host, leaf, chain, roots), each leaf of a host once: the same branch has the same chain everywhere."""
+    each = parsed.select("host", F.explode("leaves").alias("x"))
+    return each.groupBy("host", F.col("x.leaf").alias("leaf")).agg(F.first("x.chain").alias("chain"), F.first("x.roots").alias("roots"))
 
 
-def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: float = 0.4, least_pages: int = 10, gamma: float = 0.1) -> DataFrame:
+def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: float = 0.4, gamma: float = 0.1) -> DataFrame:
     """(id, url, text, n_chars) of every page; null or empty html gives an empty text.
 
-    A branch's importance is (1 - gamma) * content + gamma * presentation. Where a host has ``least_pages``
-    pages, branches below ``least`` are removed, within articles and outside, but for the document itself and
-    the roots of articles: an article in such a branch stays. An article that would lose all its text (a host full
-    of copies of one page) keeps it. Then go elements that HTML or their class names as no main text; a page with
-    an article keeps only what is left in it.
-    Pages without a host are one host. Repeated rows stay, an empty table gives an empty one.
+    A branch's importance is (1 - gamma) * content + gamma * presentation. Branches below ``least`` are removed, within
+    articles and outside, but for the document itself and the roots of articles: an article in such a branch stays. The
+    fewer pages a host has, the less a repetition says: on one page it says nothing. An article that would lose all its
+    text (a host full of copies of one page) keeps it. Then go elements that HTML or their class names as no main text;
+    a page with an article keeps only what is left in it, a page that is one form as a whole keeps what is in the form.
+    Pages without a host are one host. Very long and deep pages are read as a whole, elements below DEEP levels as one
+    branch. Rows that repeat stay and count as pages, other columns are ignored, an empty table gives an empty one.
     """
     parsed = materialize(parsed_pages(pages, id_col, url_col, html_col).withColumn("host", host_of(F.col(url_col))), "pages")
-    tree = style_trees(parsed).where((F.col("pages") >= least_pages) & ((1 - gamma) * F.col("content") + gamma * F.col("presentation") < least))
-    tree = tree.where(~F.col("path").endswith(ROOT) & ~F.col("path").rlike(r"^/?(html[^/]*)?(/body[^/]*)?$"))
-    low = materialize(tree.groupBy("host").agg(F.collect_set("path").alias("low")), "low_branches")
+    low = style_trees(parsed).where(((1 - gamma) * F.col("content") + gamma * F.col("presentation") < least) & ~F.col("fixed"))
+    # Texts of a low branch stand on many pages each, so that a host has far fewer low branches than pages.
+    low = materialize(low.groupBy("host").agg(F.collect_set("branch").alias("low")), "low_branches")
     full = parsed.join(low, "host", "left")
+    mine = F.coalesce(F.array_intersect(F.transform("nodes", lambda n: n.branch), "low"), F.array().cast("array<long>"))
+    full = full.select(id_col, url_col, "blocks", "leaves", mine.alias("mine"))
     # below a low branch, and no root of an article between
-    under = lambda path, p: F.startswith(F.concat(path, F.lit("/")), F.concat(p, F.lit("/"))) & ~F.contains(F.substring(path, F.length(p) + 1, F.length(path)), F.lit(ROOT))
-    pruned = lambda b: F.coalesce(F.exists("low", lambda p: under(b.path, p)), F.lit(False))
-    full = full.withColumn("blocks", F.transform("blocks", lambda b: F.struct(b.side.alias("side"), b.article.alias("article"), b.text.alias("text"), pruned(b).alias("pruned"))))
+    under = lambda x: F.arrays_overlap(F.slice(x.chain, x.roots + 1, F.size(x.chain)), F.col("mine"))
+    gone = F.when(F.size("mine") > 0, F.transform(F.filter("leaves", under), lambda x: x.leaf)).otherwise(F.array().cast("array<long>"))
+    full = full.withColumn("gone", gone)
+    pruned = lambda b: F.array_contains("gone", b.leaf)
+    free = F.exists("blocks", lambda b: ~b.side & ~b.form)
+    full = full.withColumn("blocks", F.transform("blocks", lambda b: F.struct((b.side | (b.form & free)).alias("side"), b.article.alias("article"), b.text.alias("text"), pruned(b).alias("pruned"))))
     in_article = F.exists("blocks", lambda b: b.article & ~b.side)
     left = F.exists("blocks", lambda b: b.article & ~b.side & ~b.pruned)
     keep = lambda b: ~b.side & (b.article | ~in_article) & ~(b.pruned & (left | ~b.article))

@@ -1,4 +1,4 @@
-"""License scan: lines and whole short texts against licence templates, by Dice over word bigrams.
+"""License scan: lines, runs of lines, paragraphs and whole texts against licence templates, by Dice over word bigrams.
 
 Text is lower-cased and split at everything but letters and digits. A unit with a bigrams and a template
 with b share at most min(a, b), so Dice >= t needs b*t/(2-t) <= a <= b*(2-t)/t: units are joined with
@@ -38,11 +38,27 @@ TEMPLATES = (
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("Proprietary", "All rights reserved."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    # Paragraphs of full licence texts.
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("MIT", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("GPL-3.0", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("BSD-3-Clause", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("BSD-3-Clause", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("Unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("Zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
 )
+#: Lines in a row that are a unit together, at most; a longer paragraph, and the whole text, are units of their own.
+RUN = 4
+PARAGRAPH = r"\n([ \t\r]*\n)+"
 
 #: Words too common to tell a notice from other text. Each bigram of a notice that can still match has
 #: others beside it: a unit without any of these others cannot reach the least Dice (checked in the tests).
-COMMON = frozenset("a and any by for from in is of or that the this to under with you may as it has all not".split())
+COMMON = frozenset("a all an and any anyone as at be but by each either for from has have if in into is it its may more neither no nor not of on or other others out see shall so such that the their this to under use used with without you your".split())
 
 
 def words_of(text: str) -> list[str]:
@@ -75,9 +91,12 @@ def bigrams(words: Column) -> Column:
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, least: float = 0.8) -> DataFrame:
     """(id, license, dice, n_units) for each licence whose template some unit of the text reaches ``least`` with.
 
-    Units are the text's lines and, if it has several lines, the whole of it. Null and empty texts match
-    nothing; equal lines count each; an empty table gives an empty result; further columns are ignored.
-    ``templates`` is a tuple in the program, so the joined side has a fixed number of rows.
+    Units are runs of one to RUN lines that begin and end with a word, paragraphs of more lines where there are several,
+    and the whole of a text of more lines: notices may be wrapped, commented out or stand amid others. ``n_units`` counts the
+    units that reach a template. Only runs about a line with a telling word are made, which loses none. Null and empty
+    texts match nothing; very long lines and texts are units as they are; equal lines count each; rows that repeat an
+    id count together; an empty table gives an empty result; further columns are ignored. ``templates`` is a tuple in the
+    program, so the joined side has a fixed number of rows.
     """
     spark = docs.sparkSession
     rows = []
@@ -88,11 +107,26 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     literal = [F.struct(F.lit(n).alias("n"), F.lit(name).alias("license"), F.array(*map(F.lit, g)).alias("grams")) for n, _, name, g in rows]
     small = spark.range(1).select(F.inline(F.array(*literal)))
     least_n, most_n = min(r[0] for r in rows), max(r[0] for r in rows)
-    names = F.array(*[F.lit(w) for w in sorted({w for r in rows for g in r[3] for w in g.split()} - COMMON)])
-    lines = F.split(F.col("text"), "\n")
-    units = F.when(F.size(lines) > 1, F.concat(lines, F.array(F.col("text")))).otherwise(lines)
-    unit = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL").select("id", F.explode(units).alias("unit"))
-    grams = let(normalized_words(F.col("unit")), lambda w: F.when(F.arrays_overlap(w, names), let(bigrams(w), lambda g: F.when(F.size(g).between(least_n, most_n), g))))
+    names = sorted({w for r in rows for g in r[3] for w in g.split()} - COMMON)
+    no_unit = F.array().cast("array<array<string>>")
+
+    def near(words, hot):
+        """Runs of lines about those in ``hot``, paragraphs, and the whole, as words."""
+        n = F.size(words)
+        starts = lambda k: F.array_distinct(F.flatten(F.transform(hot, lambda h: F.sequence(F.greatest(h - k + 1, F.lit(0)), F.least(h, n - k)))))
+        run = lambda k: F.transform(F.filter(starts(k), lambda i: (F.size(F.get(words, i)) > 0) & (F.size(F.get(words, i + k - 1)) > 0)), lambda i: F.flatten(F.slice(words, i + 1, k)))
+        runs = F.flatten(F.transform(F.sequence(F.lit(1), F.least(n, F.lit(RUN))), run))
+        parts = F.split("text", PARAGRAPH)
+        parts = F.when(F.size(parts) > 1, F.transform(F.filter(parts, lambda p: F.size(F.split(p, "\n")) > RUN), normalized_words))
+        return F.concat(runs, F.coalesce(parts, no_unit), F.when(n > RUN, F.array(F.flatten(words))).otherwise(no_unit))
+
+    def units(words):
+        telling = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.exists(F.get(words, i), lambda w: w.isin(*names)))
+        return let(telling, lambda hot: F.when(F.size(hot) > 0, near(words, hot)).otherwise(no_unit))
+
+    lines = F.transform(F.split("text", "\n"), normalized_words)
+    unit = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL").select("id", F.explode(let(lines, units)).alias("words"))
+    grams = let(bigrams(F.col("words")), lambda g: F.when(F.size(g).between(least_n, most_n), g))
     # The generator keeps the optimiser from computing the array anew in each expression that uses it.
     unit = unit.select("id", F.explode(F.array_compact(F.array(grams))).alias("unit_grams"))
     unit = unit.withColumn("n", F.size("unit_grams"))
@@ -114,7 +148,11 @@ def _sql(least: float = 0.8) -> str:
     return f"""
 WITH t AS (SELECT template, license, {grams} AS g FROM (SELECT template, license, {words.format('body')} AS w FROM (VALUES {rows}) v(template, license, body))),
 l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
-u AS (SELECT doc_id, unnest(CASE WHEN len(ls) > 1 THEN list_append(ls, text) ELSE ls END) AS unit FROM l),
+k AS (SELECT *, unnest(range(1, least(len(ls), {RUN}) + 1)) AS k FROM l),
+r AS (SELECT doc_id, ls[CAST(i AS BIGINT):CAST(i + k - 1 AS BIGINT)] AS run FROM (SELECT *, unnest(range(1, len(ls) - k + 2)) AS i FROM k)),
+p AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '{PARAGRAPH}', chr(1), 'g'), chr(1))) AS unit FROM l WHERE regexp_matches(text, '{PARAGRAPH}')),
+u AS (SELECT doc_id, array_to_string(run, chr(10)) AS unit FROM r WHERE regexp_matches(lower(run[1]), '[a-z0-9]') AND regexp_matches(lower(run[len(run)]), '[a-z0-9]')
+  UNION ALL SELECT doc_id, unit FROM p WHERE len(string_split(unit, chr(10))) > {RUN} UNION ALL SELECT doc_id, text FROM l WHERE len(ls) > {RUN}),
 b AS (SELECT doc_id, {grams} AS g FROM (SELECT doc_id, {words.format('unit')} AS w FROM u)),
 h AS (SELECT doc_id, license, 2.0 * len(list_intersect(b.g, t.g)) / (len(b.g) + len(t.g)) AS dice FROM b, t
       WHERE len(b.g) BETWEEN 1 AND 200)
