@@ -67,15 +67,24 @@ def half_precision(df: DataFrame, vector: str, to: str) -> DataFrame:
     return df.withColumn(to, run(vector))
 
 
+#: Token budget of an encoder batch and most texts in it, by a part of the model's name.
+BUDGETS = {"minilm": (6_000_000, 64_000), "large": (250_000, 512), "": (1_200_000, 16_000)}
+#: Tokens beyond which a large model takes fewer texts.
+LARGE_STEPS = ((200, 256), (450, 128))
+
+
 def batch_size(longest: int, model: str, device: str = "cuda") -> int:
-    """Texts encoded together: the model's token budget over the longest text's squared-length cost, within bounds."""
-    name = model.lower()
-    budget, most = (6_000_000, 8192) if "minilm" in name else (250_000, 512) if "large" in name else (1_200_000, 2048)
-    if device == "cpu":
+    """Texts encoded together when the longest has ``longest`` characters: what the model's token budget holds, a third of
+    the characters being tokens that weigh more beyond 512, from 16 to the model's most. Without a graphics card 32."""
+    if device in ("cpu", "mps"):
         return 32
-    tokens = max(1, longest // 4)
-    cost = tokens * (1 + tokens / 512)
-    return int(max(1, min(most, budget // cost)))
+    kind = next(k for k in BUDGETS if k in model.lower())
+    tokens = max(longest / 3, 1.0)
+    budget, most = BUDGETS[kind]
+    fits = int(budget / (1 + tokens / 1024 if tokens > 512 else 1.0) / tokens)
+    if kind == "large":
+        most = min([most] + [n for above, n in LARGE_STEPS if tokens > above])
+    return min(max(fits, 16), most)
 
 
 def fixed_batch_size(model: str) -> int:

@@ -130,11 +130,24 @@ def corpus_stats(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     return n.join(c).withColumn("avg_chars", F.coalesce(F.try_divide(F.col("total_characters").cast("double"), F.col("total_chunks")), F.lit(0.0)))
 
 
+def sentence_stats(df: DataFrame) -> DataFrame:
+    """(documents, sentences, avg_chars, max_chars) of the sentences that are embedded."""
+    s = sentences(df)
+    return s.agg(F.count_distinct("doc_id").alias("documents"), F.count("*").alias("sentences"), F.avg(F.length("text")).alias("avg_chars"), F.max(F.length("text")).alias("max_chars"))
+
+
 def length_sorted(chunks: DataFrame) -> DataFrame:
-    """``chunks`` with their place in the order of length, ties as they were. Places come from a range partition and
-    counts per partition, not from one task."""
-    cut = chunks.withColumn("n_chars", F.length("text")).repartitionByRange("n_chars", "doc_id", "chunk_pos").sortWithinPartitions("n_chars", "doc_id", "chunk_pos")
-    part = cut.withColumn("part", F.spark_partition_id()).withColumn("inner", F.monotonically_increasing_id() - F.col("part").cast("long") * F.lit(1 << 33))
-    part = part.persist()
-    sizes = part.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return part.join(F.broadcast(sizes), "part").withColumn("place", F.col("before") + F.col("inner") + 1).drop("part", "inner", "before")
+    """``chunks`` with their place in the order of length, ties as they were.
+
+    A length's first place comes from counts by length (which are few), the place within from a window by length and one
+    of 1024 ranges of documents, so that places hang on values alone and a lost task is redone alike."""
+    ends = chunks.agg(F.min("doc_id").cast("double"), F.max("doc_id").cast("double")).first()
+    low, span = (ends[0] or 0.0), (ends[1] or 0.0) - (ends[0] or 0.0) + 1
+    cut = chunks.withColumn("n_chars", F.length("text")).withColumn("bin", F.floor((F.col("doc_id").cast("double") - low) / span * 1024))
+    bins = cut.groupBy("n_chars", "bin").count()
+    by_length = bins.groupBy("n_chars").agg(F.sum("count").alias("count"))
+    starts = by_length.select("n_chars", F.coalesce(F.sum("count").over(W.orderBy("n_chars").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    inner = F.coalesce(F.sum("count").over(W.partitionBy("n_chars").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    before = bins.withColumn("inner", inner).join(starts, "n_chars").select("n_chars", "bin", (F.col("start") + F.col("inner")).alias("before"))
+    nth = F.row_number().over(W.partitionBy("n_chars", "bin").orderBy("doc_id", "chunk_pos"))
+    return cut.withColumn("nth", nth).join(before, ["n_chars", "bin"]).withColumn("place", F.col("before") + F.col("nth")).drop("bin", "before", "nth")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ragmill.functions.text import holds, normalize
-from ragmill.schemas import KS
+from ragmill.schemas import KS, METRICS
 
 
 def judge(hits: DataFrame, gold: DataFrame) -> DataFrame:
@@ -19,8 +19,9 @@ def judge(hits: DataFrame, gold: DataFrame) -> DataFrame:
     return j.withColumn("rel", F.col("matching_gold").isNotNull().cast("int")).withColumn("n_gold", F.coalesce(F.size("gold"), F.lit(0))).drop("gold")
 
 
-def metrics_at(judged: DataFrame, keys: list[str], ks=KS) -> DataFrame:
-    """(keys, k, mrr, map, ndcg, precision, recall, f1_score) for each cut-off.
+def metrics_at(judged: DataFrame, keys: list[str], ks=KS, questions: DataFrame | None = None) -> DataFrame:
+    """(keys, k, mrr, map, ndcg, precision, recall, f1_score) for each cut-off. Every key of ``questions`` has its rows: a
+    question without hits scores 0 and counts in means. Without ``questions`` only what has hits is there.
 
     ``judged``: keys, rank, rel, n_gold. Hits are ranked once; cut-offs come from one join with the few k and one
     aggregation. Precision is over what was retrieved, the mean of MAP over what was relevant there; recall and NDCG
@@ -48,6 +49,9 @@ def metrics_at(judged: DataFrame, keys: list[str], ks=KS) -> DataFrame:
         zero(F.col("hit") / F.col("n")).alias("precision"),
         zero(F.try_divide(F.col("hit"), F.col("n_gold"))).alias("recall"),
     )
+    if questions is not None:
+        every = questions.select(*keys).distinct().withColumn("k", F.explode(F.array(*map(F.lit, ks))))
+        a = every.join(a, [*keys, "k"], "left").fillna(0.0, list(METRICS[:-1]))
     both = F.col("precision") + F.col("recall")
     return a.withColumn("f1_score", F.when(both > 0, 2 * F.col("precision") * F.col("recall") / F.when(both > 0, both)).otherwise(0.0))
 
@@ -76,7 +80,9 @@ def fragmented(hits: DataFrame, gold: DataFrame, top: int = 5) -> DataFrame:
 
 
 def near_misses(hits: DataFrame, gold: DataFrame, top: int = 3, least: float = 0.8) -> DataFrame:
-    """(qid, gpos, rank, share) of gold passages of which a hit holds a stretch above ``least`` of their length."""
+    """(qid, gpos, rank, share) of gold passages of which a hit holds a stretch above ``least`` of their length.
+
+    The stretch is difflib's: in hits of 200 characters or more it does not begin at characters that are common there."""
 
     @F.pandas_udf("double")
     def share(text, g):

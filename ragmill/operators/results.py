@@ -106,17 +106,64 @@ def null_safe_contains(c: Column, part: str) -> Column:
 
 
 def enriched(rows: DataFrame) -> DataFrame:
-    """Strategy, parameters, times in hours and efficiency. A rate stands in for a time that no row has."""
+    """Strategy, parameters, times in hours (0 is none) and efficiency. A rate stands in for a time that no row has."""
     no_time = rows.agg(F.count("chunk_time")).first()[0] == 0
     chunk_s = F.try_divide(F.col("chunk_count").cast("double"), F.col("chunks_per_second")) if no_time and "chunks_per_second" in rows.columns else F.col("chunk_time")
     finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
     name = F.col("experiment")
     out = rows.withColumns({"strategy": strategy(name), **params(name)})
-    out = out.withColumns({"chunk_hours": finite(chunk_s.cast("double")) / 3600, "index_hours": finite(numeric(F.col("index_time").cast("string"))) / 3600})
+    hours = lambda c: F.nullif(finite(c) / 3600, F.lit(0.0))
+    out = out.withColumns({"chunk_hours": hours(chunk_s.cast("double")), "index_hours": hours(numeric(F.col("index_time").cast("string")))})
     total = F.coalesce("chunk_hours", F.lit(0.0)) + F.coalesce("index_hours", F.lit(0.0))
     return out.withColumns({"total_hours": F.nullif(total, F.lit(0.0)), "size_bin": size_bin(F.col("chunk_avg_chars")), "efficiency": F.try_divide(F.col("ndcg@10"), F.col("chunk_avg_chars")) * 100})
 
 
+#: Metrics, strategies and levels of the report.
+REPORT_METRICS = ("ndcg@10", "recall@10", "precision@10", "map@10", "mrr@10")
+STRATEGIES = ("Fixed", "Recursive", "Sentence", "Semantic")
+LEVELS = ("All", "Easy", "Moderate", "Hard")
+
+
+def report_sections(rows: DataFrame) -> dict[str, DataFrame]:
+    """The five sections of the report on a master table, by title: metrics by strategy, models, parameters, difficulty,
+    and the strategies side by side. Metrics that no column has are left out."""
+    d = rows.withColumns({"strategy": strategy(F.col("experiment")), **params(F.col("experiment"))})
+    there = [m for m in REPORT_METRICS if m in d.columns]
+    mean = lambda m: F.avg(F.col(f"`{m}`")).alias(m)
+    by = lambda key, names: d.where(F.col(key).isNotNull()).groupBy(key).agg(*map(mean, names)).orderBy(key)
+    wide = lambda key, column, values: d.groupBy(key).pivot(column, list(values)).agg(F.avg("`ndcg@10`")).orderBy(key)
+    out = {"Metrics by strategy": d.groupBy("strategy").agg(*(f(F.col(f"`{m}`")).alias(f"{m} {n}") for m in there for n, f in (("mean", F.avg), ("std", F.stddev_samp)))).orderBy("strategy")}
+    if "embedding_model" in d.columns:
+        out["Embedding models"] = wide("embedding_model", "strategy", (*STRATEGIES, "Other"))
+    out["Semantic threshold"] = by("param_threshold", [m for m in there if m in REPORT_METRICS[:3]])
+    out["Overlap"] = by("param_overlap", [m for m in there if m in REPORT_METRICS[:2]])
+    if "config_difficulty" in d.columns:
+        out["Difficulty"] = wide("strategy", "config_difficulty", LEVELS)
+    out["Strategies compared"] = d.where(F.col("strategy").isin(*STRATEGIES)).groupBy("strategy").agg(*map(mean, there)).orderBy("strategy")
+    return out
+
+
+def selected(experiments: DataFrame) -> DataFrame:
+    """Experiments of the distance comparison: the semantic ones and one of each other strategy."""
+    return experiments.where(F.startswith("experiment", F.lit("semantic")) | F.col("experiment").isin("fixed_1024_128", "recursive_1024_128", "sentence_s10"))
+
+
+def merged_columns(rows: DataFrame, path: Column, model: Column, difficulty: Column, input_file: Column, has_metadata: Column) -> DataFrame:
+    """``rows`` with model_name, dataset_difficulty and dataset_type, from a run's metadata, or else its path."""
+    from_path = F.lit("unknown")
+    for part, name in (("bge-large", "BAAI/bge-large-en-v1.5"), ("bge-base", "BAAI/bge-base-en-v1.5"), ("MiniLM", "all-MiniLM-L6-v2")):
+        from_path = F.when(F.contains(path, F.lit(part)), name).otherwise(from_path)
+    silver = has_metadata & null_safe_contains(F.lower(input_file), "silver")
+    level = F.when(silver, "Hard").otherwise(F.when(has_metadata, F.coalesce(difficulty, F.lit("unknown"))).otherwise("unknown"))
+    low = F.lower(path)
+    named = F.when(F.contains(low, F.lit("easy")), "Easy").when(F.contains(low, F.lit("hard")), "Hard").when(F.contains(low, F.lit("moderate")), "Moderate").otherwise("unknown")
+    return rows.withColumns({
+        "model_name": F.when(has_metadata, F.coalesce(model, F.lit("unknown"))).otherwise(from_path),
+        "dataset_difficulty": F.when(level == "unknown", named).otherwise(level),
+        "dataset_type": F.when(silver, "Silver").otherwise("Gold"),
+    })
+
+
 def flatten_record(rows: DataFrame, most: int = 3) -> DataFrame:
     """sample_id, question, gold_count, gold_json, gold_passage_1.. with '' for what is missing."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))

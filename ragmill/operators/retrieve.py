@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 #: Bytes of query vectors that a task holds at a time; more queries go in further blocks.
-QUERY_BYTES = 32 << 20
+QUERY_BYTES = 4 << 20
+#: Distances that a task holds at a time.
+CELLS = 1 << 21
 DESCENDING = {"ip"}
 
 
@@ -25,25 +27,26 @@ def scores(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
 
 def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "l2", exclude_self: bool = False) -> DataFrame:
     """(qid, rank, chunk_id, distance): the k nearest rows of ``corpus`` (chunk_id, embedding) for each of
-    ``queries`` (qid, embedding); ties by chunk_id; fewer rows than k give what there is.
+    ``queries`` (qid, embedding); ties by chunk_id; fewer rows than k give what there is. A qid is one query: rows that
+    repeat it count once, by the vector that sorts first; rows without a qid or a vector ask nothing.
 
-    The corpus stays where it is. Each task keeps the k best of its rows for a block of queries, so that the
-    shuffle carries k rows per query and task; the rest is a ranked window, cut off at k."""
+    The corpus stays where it is. Queries stream through the driver in blocks of QUERY_BYTES. Each task keeps the k best of
+    its rows for a block, so that the shuffle carries k rows per query and task; the rest is a ranked window, cut at k."""
     if metric not in ("l2", "ip", "l1", "linf"):
         raise ValueError(metric)
-    out, at = None, None
-    width = queries.select(F.size("embedding")).first()
-    per_block = max(1, QUERY_BYTES // (8 * max(1, width[0] if width else 1)))
-    while True:
-        more = queries.select("qid", "embedding") if at is None else queries.select("qid", "embedding").where(F.col("qid") > at)
-        block = more.orderBy("qid").limit(per_block).collect()
-        if not block:
-            break
-        at = block[-1].qid
+    asked = queries.where("qid IS NOT NULL AND embedding IS NOT NULL").groupBy("qid").agg(F.min("embedding").alias("embedding"))
+    out, block = None, []
+
+    def search():
         got = _nearest(np.array([r.qid for r in block]), np.array([r.embedding for r in block], np.float64), corpus, k, metric, exclude_self)
-        out = got if out is None else out.unionByName(got)
-        if len(block) < per_block:
-            break
+        return got if out is None else out.unionByName(got)
+
+    for row in asked.orderBy("qid").toLocalIterator():
+        block.append(row)
+        if len(block) * 8 * len(row.embedding) >= QUERY_BYTES:
+            out, block = search(), []
+    if block:
+        out = search()
     if out is None:
         return corpus.sparkSession.createDataFrame([], "qid long, rank int, chunk_id long, distance double")
     rank = F.row_number().over(W.partitionBy("qid").orderBy("distance", "chunk_id"))
@@ -60,11 +63,18 @@ def _nearest(ids, q, corpus, k, metric, exclude_self):
         for b in batches:
             there = b.column(0).to_numpy(zero_copy_only=False)
             v = np.stack(b.column(1).to_numpy(zero_copy_only=False)).astype(np.float64) if b.num_rows else np.zeros((0, q.shape[1]))
-            for lo in range(0, len(v), 2048):
-                d = scores(q, v[lo : lo + 2048], metric)
-                i = np.broadcast_to(there[lo : lo + 2048], d.shape)
+            step = max(64, CELLS // max(1, len(q)))
+            for lo in range(0, len(v), step):
+                d = scores(q, v[lo : lo + step], metric)
+                i = np.broadcast_to(there[lo : lo + step], d.shape)
                 if exclude_self:
                     d = np.where(i == ids[:, None], np.inf, d)
+                if d.shape[1] > 4 * k:
+                    # what is as near as the k-th, ties among it, before anything is sorted
+                    bar = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+                    wide = int((d <= bar).sum(axis=1).max())
+                    near = np.argsort(d > bar, axis=1, kind="stable")[:, :wide]
+                    d, i = np.take_along_axis(d, near, 1), np.take_along_axis(i, near, 1)
                 d, i = np.concatenate((best_d, d), axis=1), np.concatenate((best_i, i), axis=1)
                 order = np.lexsort((i, d), axis=1)[:, :k]
                 best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ragmill.functions.text import renamed_blob, relevant_file
 from ragmill.schemas import SAMPLE
+from ragmill.sources import store
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -22,13 +23,13 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, path: str, limit: int | None = None, schema: str = SAMPLE) -> DataFrame:
-    """JSON lines as samples; sample_id falls back to id, then to a new one. A bad line fails; 0 or None is no limit;
+    """JSON lines as samples; sample_id falls back to id, then to one made of the line, the same in every run. A bad line fails; 0 or None is no limit;
     a missing file is empty. The first rows of a limit are the file's first."""
     try:
         df = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
     except AnalysisException:
         return spark.createDataFrame([], schema)
-    df = df.withColumn("sample_id", F.coalesce("sample_id", "id", F.expr("uuid()")))
+    df = df.withColumn("sample_id", F.coalesce("sample_id", "id", F.md5(F.to_json(F.struct(*df.columns)).cast("binary"))))
     return df.limit(limit) if limit else df
 
 
@@ -104,12 +105,11 @@ def load_index(spark: SparkSession, vectors: str, chunks: str) -> tuple[DataFram
 
 
 def cached(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table at ``path``; made and written if it is not there or cannot be read."""
-    try:
-        return spark.read.parquet(path)
-    except Exception:
+    """The table at ``path``; made and written if it was never written to its end. Other errors, such as a store that
+    cannot be reached, are errors and overwrite nothing."""
+    if not store.whole(spark, path):
         make().write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+    return spark.read.parquet(path)
 
 
 def result_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -139,6 +139,27 @@ def blobs(spark: SparkSession, root: str) -> DataFrame:
     return got.where(relevant_file(F.col("path"))).withColumn("to", renamed_blob(F.col("path")))
 
 
+def mirror(spark: SparkSession, root: str, target: str) -> int:
+    """Copy the metadata and result files below ``root`` to ``target`` under the names they are kept under; returns how many
+    were not there before. These are few and small: one for each experiment."""
+    base = root.rstrip("/")
+    done = 0
+    for r in blobs(spark, root).toLocalIterator():
+        inner = r.path.split(base.removeprefix("file://"), 1)[-1].lstrip("/")
+        to = spark.range(1).select(renamed_blob(F.lit(inner))).first()[0]
+        done += store.copy(spark, r.path, f"{target.rstrip('/')}/{to}")
+    return done
+
+
+def dataset(spark: SparkSession, path: str, split: str = "train", schema: str | None = None) -> DataFrame:
+    """A published dataset's split from its files: Parquet if there is any below ``path`` with the split's name, else JSON."""
+    for kind, glob in (("parquet", f"*{split}*.parquet"), ("json", f"*{split}*.json*")):
+        if not files(spark, path, [glob]).isEmpty():
+            r = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+            return (r.schema(schema) if schema else r).format(kind).load(path)
+    raise FileNotFoundError(f"{path}: no files of split {split}")
+
+
 def json_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One row of a JSON file; nulls if it is missing or bad."""
     try:
@@ -148,9 +169,11 @@ def json_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def config(path: str) -> dict:
-    """A configuration, read on the driver."""
-    with open(path, encoding="utf-8") as f:
-        return json.load(f)
+    """A configuration, read on the driver from any store."""
+    text = store.read_text(SparkSession.active(), path)
+    if text is None:
+        raise FileNotFoundError(path)
+    return json.loads(text)
 
 
 class Fetcher(Protocol):

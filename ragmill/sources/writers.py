@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ragmill.operators.results import flatten_record
+from ragmill.sources.store import write_text
 
 
 def jsonl(df: DataFrame, path: str) -> None:
@@ -25,8 +25,8 @@ def vectors(df: DataFrame, path: str) -> None:
 
 
 def metadata(values: dict, path: str) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(values, ensure_ascii=False, indent=2), encoding="utf-8")
+    """A JSON file of its own beside a table, on whatever store ``path`` names."""
+    write_text(SparkSession.active(), path, json.dumps(values, ensure_ascii=False, indent=2, default=str))
 
 
 def csv(df: DataFrame, path: str, sep: str = ",") -> None:
@@ -41,17 +41,20 @@ def detailed_results(df: DataFrame, folder: str, stamp: str) -> DataFrame:
 
 
 def records_csv(df: DataFrame, path: str, sep: str = ",", most_gold: int = 3) -> int:
-    """Flattened records in a fixed column order; returns their number."""
-    flat = flatten_record(df, most_gold)
-    csv(flat, path, sep)
-    return flat.count()
+    """Flattened records in a fixed column order; returns their number, counted while they are written."""
+    seen = Observation()
+    csv(flatten_record(df, most_gold).observe(seen, F.count("*").alias("n")), path, sep)
+    return seen.get["n"]
 
 
 def report(sections: dict[str, DataFrame], most: int = 100) -> str:
-    """Small aggregates as Markdown; each is a report of at most ``most`` rows."""
+    """Small aggregates as Markdown; of a longer one the first ``most`` rows, and how many more there are."""
     out = []
+    cell = lambda v: "" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
     for title, df in sections.items():
-        rows = df.limit(most).collect()
-        cell = lambda v: "" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
-        out += [f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *("| " + " | ".join(map(cell, r)) + " |" for r in rows), ""]
+        rows = df.limit(most + 1).collect()
+        out += [f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *("| " + " | ".join(map(cell, r)) + " |" for r in rows[:most])]
+        if len(rows) > most:
+            out.append(f"\n{df.count() - most} more rows are not shown.")
+        out.append("")
     return "\n".join(out)

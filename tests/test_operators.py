@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ragmill.functions import pages as pg
 from ragmill.functions import text as tx
 from ragmill.functions.vectors import HashingEmbedder, batch_size, fixed_batch_size
+from ragmill.operators import retrieve
 from ragmill.operators import chunk as ck
 from ragmill.operators import results as rs
 from ragmill.operators.retrieve import knn
@@ -80,6 +81,24 @@ def test_knn(spark):
         knn(q, corpus, 3, "x")
 
 
+def test_knn_keeps_every_query(spark, monkeypatch):
+    """Blocks end anywhere; a qid is one query; rows without one ask nothing; ties go to the smaller id."""
+    rng = np.random.default_rng(2)
+    v = rng.integers(-2, 3, (300, 3)).astype(float)
+    corpus = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "chunk_id long, embedding array<double>")
+    asked = [(i, v[i].tolist()) for i in range(40)] + [(3, [9.0, 9.0, 9.0]), (None, [0.0, 0.0, 0.0])]
+    queries = spark.createDataFrame(asked, "qid long, embedding array<double>")
+    monkeypatch.setattr(retrieve, "QUERY_BYTES", 24 * 7)
+    monkeypatch.setattr(retrieve, "CELLS", 1)
+    for metric in ("l2", "ip", "l1", "linf"):
+        got = retrieve.knn(queries, corpus, 5, metric).collect()
+        for q in range(40):
+            d = retrieve.scores(v[q : q + 1], v, metric)[0]
+            want = sorted(range(300), key=lambda i: (d[i], i))[:5]  # noqa: B023
+            assert [r.chunk_id for r in sorted((r for r in got if r.qid == q), key=lambda r: r.rank)] == want
+        assert len(got) == 200
+
+
 def test_clean_text(spark):
     odd = ["a b", "x​y", " a \n\n  b\t c ", "", "a\x0bb\x85c d", " 　pad　 "]
     got = [r.c for r in docs(spark, *odd).orderBy("doc_id").select(tx.clean_text(F.col("text")).alias("c")).collect()]
@@ -178,6 +197,7 @@ def test_writers(spark, tmp_path):
 
 def test_small_functions():
     assert [fixed_batch_size(m) for m in ("MiniLM", "bge-base", "bge-large", "x")] == [8192, 1536, 256, 1024]
-    assert batch_size(10, "MiniLM") >= batch_size(10_000, "MiniLM") >= 1
+    sizes = {("MiniLM", 10): 64_000, ("MiniLM", 3000): 3035, ("base", 30): 16_000, ("base", 1500): 2400, ("base", 3000): 607, ("large", 30): 512, ("large", 601): 256, ("large", 1353): 128, ("large", 30_000): 16}
+    assert {k: batch_size(k[1], k[0]) for k in sizes} == sizes and batch_size(10, "x", "cpu") == batch_size(10, "x", "mps") == 32
     v = HashingEmbedder().encode(["a b", "", "a b"])
     assert np.allclose(np.linalg.norm(v, axis=1), 1) and np.array_equal(v[0], v[2])
