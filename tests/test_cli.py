@@ -8,11 +8,14 @@ from ragmill import cli
 from ragmill.sources import readers, store, writers
 
 
-class Site:
-    """A fetcher for tests."""
+def site():
+    """A fetcher for tests, of a class that travels to the executors as it is."""
 
-    def get(self, url):
-        return None if url.endswith("gone") else f"<html><body><h1>{url}</h1><div id='mw-content-text'><p>Text of {url} with enough words to keep.</p></div></body></html>"
+    class Site:
+        def get(self, url):
+            return None if url.endswith("gone") else f"<html><body><h1>{url}</h1><div id='mw-content-text'><p>Text of {url} with enough words to keep.</p></div></body></html>"
+
+    return Site()
 
 
 @pytest.fixture(scope="module")
@@ -117,11 +120,11 @@ def test_preprocess(spark, root):
     with open(data / "train.jsonl", "w") as f:
         for i, pages in enumerate((["a", "b"], ["gone"], ["b"])):
             f.write(json.dumps({"sample_id": str(i), "ambiguous_question": f" q {i} ", "wikipages": [page(x) for x in pages], "qa_pairs": [{"short_answers": ["z ", "a"]}, {"short_answers": ["a"]}]}) + "\n")
-    path = cli.preprocess_dataset(spark, f"file://{data}", f"file://{root}/pre", Site())
+    path = cli.preprocess_dataset(spark, f"file://{data}", f"file://{root}/pre", site())
     rows = {r.sample_id: r for r in readers.samples(spark, path).collect()}
     assert set(rows) == {"0", "2"} and rows["0"].question == "q 0" and list(rows["0"].gold_passages) == ["a", "z"] and "Text of http://h/a" in rows["0"].document_text
     assert cli.preprocessed_path("b", None).endswith("_all.jsonl") and cli.preprocessed_path("b", 5).endswith("_limit_5.jsonl")
-    assert readers.samples(spark, cli.preprocess_dataset(spark, f"file://{data}", f"file://{root}/pre", Site(), 1)).count() == 1
+    assert readers.samples(spark, cli.preprocess_dataset(spark, f"file://{data}", f"file://{root}/pre", site(), 1)).count() == 1
     with pytest.raises(FileNotFoundError):
         readers.dataset(spark, f"file://{data}", "test")
 
