@@ -58,7 +58,9 @@ PARAGRAPH = r"\n([ \t\r]*\n)+"
 
 #: Words too common to tell a notice from other text. Each bigram of a notice that can still match has
 #: others beside it: a unit without any of these others cannot reach the least Dice (checked in the tests).
-COMMON = frozenset("a all an and any anyone as at be but by each either for from has have if in into is it its may more neither no nor not of on or other others out see shall so such that the their this to under use used with without you your".split())
+COMMON = frozenset(
+    "a all an and any anyone are as at be but by can could do does each either for from had has have he her his if in into is it its may more neither no nor not of on or other others our out see shall she should so such than that the their them then there these they this those to under use used was we were what when where which who will with without would you your".split()
+)
 
 
 def words_of(text: str) -> list[str]:
