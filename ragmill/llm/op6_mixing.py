@@ -14,7 +14,7 @@ DIMS = ("source", "lang", "topic")
 #: Exponent of each dimension's token shares in its target: below 1, large parts give to small ones.
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 #: Passes over the three dimensions in one plan; plans follow until marginals are met, at most so many.
-PASSES, MOST_PLANS = 8, 25
+PASSES, MOST_PLANS = 4, 50
 #: Largest relative miss of a marginal that counts as met.
 CLOSE = 1e-9
 KEEP = 0.6
@@ -58,14 +58,17 @@ def tempered_targets(cells: DataFrame, temper=None) -> dict[str, DataFrame]:
     return out
 
 
-def with_targets(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
-    """``cells`` with t_source, t_lang, t_topic: targets of their values, 0 without one, scaled to sum to 1 over the
-    values that cells have."""
-    cells = cells.where("tokens > 0")
+def with_targets(cells: DataFrame, targets: dict[str, DataFrame] | None) -> DataFrame:
+    """``cells`` with t_source, t_lang, t_topic: targets of their values, 0 without one (tempered ones, if none are given),
+    scaled to sum to 1 over the values that cells have."""
+    cells = cells.where("tokens > 0").coalesce(1)
     for d in DIMS:
-        mine = targets[d].select(F.col(d), F.col("target").cast("double").alias(f"t_{d}"))
-        share = F.col("tokens") / F.sum("tokens").over(W.partitionBy(d))
-        cells = cells.join(mine, d, "left").withColumn(f"t_{d}", F.coalesce(f"t_{d}", F.lit(0.0))).withColumn(f"s_{d}", share)
+        all_ = F.sum("tokens").over(W.partitionBy(d))
+        if targets is None:
+            target = F.pow(all_.cast("double"), TEMPER[d])
+        else:
+            cells, target = cells.join(targets[d].select(d, F.col("target").cast("double").alias("given")), d, "left"), F.coalesce("given", F.lit(0.0))
+        cells = cells.withColumns({f"t_{d}": target, f"s_{d}": F.col("tokens") / all_}).drop("given")
     cells = materialize(cells, "cell_targets")
     # each value once: a cell counts by its share of its value
     sums = cells.agg(*(F.sum(F.col(f"t_{d}") * F.col(f"s_{d}")).alias(d) for d in DIMS)).first()
@@ -80,14 +83,16 @@ def raking_pass(cells: DataFrame) -> DataFrame:
     return cells
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], passes: int = PASSES, most: int = MOST_PLANS, close: float = CLOSE) -> tuple[DataFrame, float]:
+def rake(cells: DataFrame, targets: dict[str, DataFrame] | None, passes: int = PASSES, most: int = MOST_PLANS, close: float = CLOSE) -> tuple[DataFrame, float]:
     """(source, lang, topic, tokens, weight) and the largest relative miss of a marginal.
 
-    Cells are a small table (values of the dimensions, not documents). ``passes`` passes are one plan of window sums,
-    written; plans follow until the miss is ``close``, or does not fall any more (targets that no weights meet, as where
+    Cells are a small table (values of the dimensions, not documents), and a window puts those of the commonest language into
+    one task anyway: they are one partition, so that passes need no exchange. ``passes`` passes are one plan of window
+    sums, written; plans follow until the miss is ``close``, or does not fall any more (targets that no weights meet, as where
     a source has no document of a language its target needs), or ``most`` are done. A value without a target has weight 0."""
     cells, miss = with_targets(cells, targets).withColumn("weight", F.col("tokens").cast("double")), float("inf")
     for _ in range(most):
+        cells = cells.coalesce(1)
         for _ in range(passes):
             cells = raking_pass(cells)
         off = lambda d: F.abs(F.sum("weight").over(W.partitionBy(d)) / F.nullif(f"t_{d}", F.lit(0.0)) - 1)
@@ -131,7 +136,7 @@ def mix(docs: DataFrame, keep: float = KEEP, targets: dict[str, DataFrame] | Non
     to = free_name(docs, "mix")
     docs = with_cells(docs, to, topic)
     cells = materialize(docs.groupBy(*(F.col(f"{to}.{d}").alias(d) for d in DIMS)).agg(F.sum(f"{to}.tokens").alias("tokens")), "cells")
-    raked, _ = rake(cells, targets or tempered_targets(cells))
+    raked, _ = rake(cells, targets)
     names = [free_name(docs, f"mix_{d}") for d in (*DIMS, "prob")]
     prob = materialize(calibrate(raked, keep).toDF(*names), "probabilities")
     on = [F.col(f"{to}.{d}") == F.col(n) for d, n in zip(DIMS, names[:-1], strict=True)]
