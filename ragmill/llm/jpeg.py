@@ -250,15 +250,16 @@ def encode(payload: np.ndarray, blocks: np.ndarray) -> list[bytes]:
 
 
 class Image:
-    __slots__ = ("comps", "h", "mcux", "mcuy", "quant", "scans", "w")
+    __slots__ = ("comps", "h", "is_rgb", "mcux", "mcuy", "quant", "scans", "w")
 
 
 def parse(data: bytes) -> Image:
-    """Headers and where the scans lie. Raises ValueError for what is not a progressive 8-bit JPEG."""
+    """Headers and where the scans lie. Raises ValueError for what is not a progressive 8-bit JPEG of one or three
+    components whose sampling factors divide the largest."""
     if data[:2] != b"\xff\xd8":
         raise ValueError("no JPEG")
     im, at, quant, tables, interval = Image(), 2, {}, {}, 0
-    im.scans = []
+    im.scans, im.is_rgb = [], False
     while True:
         at = data.index(b"\xff", at)
         marker = data[at + 1]
@@ -280,6 +281,8 @@ def parse(data: bytes) -> Image:
                 n = sum(body[1:17])
                 tables[body[0]] = body[1 : 17 + n]
                 body = body[17 + n :]
+        elif marker == 0xEE and body[:5] == b"Adobe" and len(body) > 11:
+            im.is_rgb = body[11] == 0
         elif marker == 0xDD:
             interval = struct.unpack(">H", body)[0]
         elif marker == 0xC2:
@@ -288,6 +291,8 @@ def parse(data: bytes) -> Image:
                 raise ValueError("only 8-bit samples")
             raw = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
             hmax, vmax = max(r[1] for r in raw), max(r[2] for r in raw)
+            if n not in (1, 3) or any(hmax % r[1] or vmax % r[2] for r in raw):
+                raise ValueError("components or sampling not known")
             im.mcux, im.mcuy = -(-im.w // (8 * hmax)), -(-im.h // (8 * vmax))
             # id, h, v, blocks a row and column of the padded grid, of the grid a single-component scan covers, quantiser
             im.comps = [(i, h, v, im.mcux * h, im.mcuy * v, -(-(-(-im.w * h // hmax)) // 8), -(-(-(-im.h * v // vmax)) // 8), q) for i, h, v, q in raw]
@@ -546,6 +551,8 @@ def rgb(coef: np.ndarray, im: Image, first: list[int]) -> np.ndarray:
         planes.append(x[: im.h, : im.w])
     if len(planes) == 1:
         return np.repeat(planes[0][:, :, None], 3, axis=2).astype(np.uint8)
+    if im.is_rgb:
+        return np.stack(planes, axis=2).astype(np.uint8)
     y, cb, cr = planes[0] << 16, planes[1] - 128, planes[2] - 128
     half = 1 << 15
     out = np.empty((im.h, im.w, 3), np.int32)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
 
 import numpy as np
@@ -90,15 +91,15 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def decode_media(media: DataFrame, id_col: str, media_col: str, most: int = 1 << 22) -> DataFrame:
-    """(id, width, height, tensor) of any 8-bit progressive JPEG, grey or with up- or unsampled chroma.
+    """(id, width, height, tensor) of any 8-bit progressive JPEG, grey, YCbCr or RGB, with up- or unsampled chroma.
 
-    Null and unreadable files give null width, height and tensor. Files are decoded together up to ``most`` bytes."""
+    Null and unreadable files, cut ones, and those of other kinds give null width, height and tensor. Files are decoded together up to ``most`` bytes."""
     schema = f"{id_col} {media.schema[id_col].dataType.simpleString()}, width int, height int, tensor binary"
 
     def safe(files):
         try:
             return jpeg.decode(files)
-        except (ValueError, KeyError, IndexError, StopIteration, AttributeError):
+        except (ValueError, KeyError, IndexError, StopIteration, AttributeError, ZeroDivisionError, struct.error):
             return [None] if len(files) == 1 else [safe([f])[0] for f in files]
 
     def run(batches):
