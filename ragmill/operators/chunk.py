@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -80,13 +81,68 @@ def recursive_split(text: str, size: int, overlap: int, length: Callable[[str],
     return [c for c in out if c]
 
 
+#: What counts as a token of recursive chunks: words, and signs one by one.
+TOKEN = re.compile(r"\w+|[^\w\s]")
+
+
+def piece_ends(text: str, marks: list[tuple[np.ndarray, int]], starts: np.ndarray, size: int) -> np.ndarray:
+    """Where the pieces of ``pieces`` end, by tokens. ``marks``: places and length of each separator, the coarsest first;
+    ``starts``: where tokens begin. A level is cut at all its separators at once; what is too long goes to the next."""
+    ends = []
+
+    def cut(a: int, b: int, level: int) -> None:
+        while level < len(marks):
+            places, wide = marks[level]
+            lo, hi = np.searchsorted(places, (a, b - wide + 1))
+            level += 1
+            if hi <= lo:
+                continue
+            bounds = np.append(places[lo:hi], b)
+            bounds = bounds[bounds > a]
+            count = np.diff(np.searchsorted(starts, np.append(a, bounds)))
+            done = 0
+            for k in np.flatnonzero(count > size):
+                ends.append(bounds[done:k])
+                cut(int(bounds[k - 1]) if k else a, int(bounds[k]), level)
+                done = k + 1
+            ends.append(bounds[done:])
+            return
+        ends.append(np.arange(a + 1, b + 1))
+
+    cut(0, len(text), 0)
+    return np.concatenate(ends)
+
+
+def token_split(text: str, size: int, overlap: int) -> list[str]:
+    """``recursive_split`` at paragraphs, lines, blanks and characters, by tokens, which are counted once a text: chunks are
+    looked up in sums of counts."""
+    if not text:
+        return []
+    starts = np.array([m.start() for m in TOKEN.finditer(text)], np.int64)
+    signs = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    line = np.flatnonzero(signs == 10)
+    marks = [(line[:-1][np.diff(line) == 1], 2), (line, 1), (np.flatnonzero(signs == 32), 1)]
+    ends = np.concatenate(([0], piece_ends(text, marks, starts, size)))
+    single = np.flatnonzero(np.diff(ends) == 1)
+    count = np.diff(np.searchsorted(starts, ends))
+    # characters by themselves are a token each, but for white space
+    count[single] = [not text[at].isspace() for at in ends[single]]
+    total = np.concatenate(([0], np.cumsum(count)))
+    out, at, n = [], 0, len(count)
+    while True:
+        to = max(at + 1, int(np.searchsorted(total, total[at] + size, side="right")) - 1)
+        out.append(text[ends[at] : ends[min(to, n)]].strip())
+        if to >= n:
+            return [c for c in out if c]
+        at = min(to, int(np.searchsorted(total, max(total[to] - overlap, total[to + 1] - size))))
+
+
 def recursive(df: DataFrame, chunk_size: int, chunk_overlap: int = 0) -> DataFrame:
     """Recursive separators; length counts words and signs. An Arrow-batched function, as the rule calls itself."""
 
     @F.pandas_udf("array<string>")
     def run(s):
-        count = re.compile(r"\w+|[^\w\s]").findall
-        return s.map(lambda t: recursive_split(t, chunk_size, chunk_overlap, lambda x: len(count(x))) if t else [])
+        return s.map(lambda t: token_split(t, chunk_size, chunk_overlap) if t else [])
 
     return exploded(df, run("text"))
 

@@ -2,6 +2,8 @@ import json
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ragmill.functions import pages as pg
@@ -59,6 +61,12 @@ def test_recursive(spark):
     assert ck.recursive_split("a b c d", 4, 2, len) == ["a b", "b c", "c d"]
 
 
+@given(st.text(alphabet="ab \n.é_\u2003\t", max_size=60), st.integers(1, 6), st.integers(0, 5))
+@settings(max_examples=1500, deadline=None)
+def test_tokens_are_counted_once(text, size, overlap):
+    assert ck.token_split(text, size, overlap) == ck.recursive_split(text, size, overlap, lambda x: len(ck.TOKEN.findall(x)))
+
+
 def test_semantic(spark):
     class Stub:
         def encode(self, texts):
