@@ -82,7 +82,7 @@ def recursive_split(text: str, size: int, overlap: int, length: Callable[[str],
 
 
 #: What counts as a token of recursive chunks: words, and signs one by one.
-TOKEN = re.compile(r"\w+|[^\w\s]")
+TOKEN, WORD = re.compile(r"\w+|[^\w\s]"), re.compile(r"\w")
 
 
 def piece_ends(text: str, marks: list[tuple[np.ndarray, int]], starts: np.ndarray, size: int) -> np.ndarray:
@@ -118,15 +118,18 @@ def token_split(text: str, size: int, overlap: int) -> list[str]:
     looked up in sums of counts."""
     if not text:
         return []
-    starts = np.array([m.start() for m in TOKEN.finditer(text)], np.int64)
     signs = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kinds, kind = np.unique(signs, return_inverse=True)
+    word = np.array([bool(WORD.match(chr(c))) for c in kinds])[kind]
+    blank = np.array([chr(c).isspace() for c in kinds])[kind]
+    starts = np.flatnonzero(~blank & ~(word & np.append(False, word[:-1])))
     line = np.flatnonzero(signs == 10)
     marks = [(line[:-1][np.diff(line) == 1], 2), (line, 1), (np.flatnonzero(signs == 32), 1)]
     ends = np.concatenate(([0], piece_ends(text, marks, starts, size)))
     single = np.flatnonzero(np.diff(ends) == 1)
     count = np.diff(np.searchsorted(starts, ends))
     # characters by themselves are a token each, but for white space
-    count[single] = [not text[at].isspace() for at in ends[single]]
+    count[single] = ~blank[ends[single]]
     total = np.concatenate(([0], np.cumsum(count)))
     out, at, n = [], 0, len(count)
     while True:
