@@ -12,6 +12,7 @@ from pyspark.sql.window import Window as W
 
 from ragmill.functions.text import split_safe
 from ragmill.functions.vectors import Embedder, dot, embed
+from ragmill.operators.ranks import percentiles
 
 
 def exploded(df: DataFrame, chunks: Column) -> DataFrame:
@@ -164,7 +165,7 @@ def islands(df: DataFrame, threshold: Column, group: str = "doc_id", order: str
 
 def percentile_threshold(df: DataFrame, amount: float, group: str = "doc_id") -> DataFrame:
     """(group, threshold): the linear percentile of the distances; 0 without any."""
-    return df.groupBy(group).agg(F.coalesce(F.percentile("distance", F.lit(amount / 100)), F.lit(0.0)).alias("threshold"))
+    return percentiles(df, group, "distance", [amount / 100]).select(group, F.coalesce("p0", F.lit(0.0)).alias("threshold"))
 
 
 def semantic(df: DataFrame, embedder: Embedder, similarity_threshold: float = 0.8) -> DataFrame:

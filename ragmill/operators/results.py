@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ragmill.functions.text import index_name, numeric, params, size_bin, strategy
+from ragmill.operators.ranks import percentiles
 
 BASE = ("mrr", "map", "ndcg_at_k", "precision_at_k", "recall_at_k", "f1_score_at_k")
 
@@ -59,8 +60,7 @@ def melt_metrics(rows: DataFrame, ids: list[str], columns: list[str]) -> DataFra
 
 
 def quartiles(rows: DataFrame, key: str, value: str) -> DataFrame:
-    p = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return rows.groupBy(key).agg(p.alias("p")).select(key, F.col("p")[0].alias("q1"), F.col("p")[1].alias("median"), F.col("p")[2].alias("q3"))
+    return percentiles(rows, key, value, [0.25, 0.5, 0.75]).toDF(key, "q1", "median", "q3")
 
 
 def with_chunk_metadata(rows: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from ragmill.functions.vectors import HashingEmbedder, batch_size, fixed_batch_s
 from ragmill.operators import retrieve
 from ragmill.operators import chunk as ck
 from ragmill.operators import results as rs
+from ragmill.operators.ranks import percentiles
 from ragmill.operators.retrieve import knn
 from ragmill.sources import readers, writers
 
@@ -67,6 +68,22 @@ def test_tokens_are_counted_once(text, size, overlap):
     assert ck.token_split(text, size, overlap) == ck.recursive_split(text, size, overlap, lambda x: len(ck.TOKEN.findall(x)))
 
 
+def test_percentiles(spark):
+    """As the exact aggregate has them: ties, a group of one value, of nulls, of few and of many rows, a null key, NaN."""
+    rng = np.random.default_rng(5)
+    rows = [(k, float(v)) for k, n in (("many", 5000), ("few", 3), (None, 40)) for v in rng.normal(size=n)]
+    rows += [("ties", float(v)) for v in rng.integers(0, 3, 900)] + [("one", 7.0), ("none", None), ("same", 1.5), ("same", 1.5), ("few", None)]
+    rows += [("odd", float("nan")), ("odd", float("inf")), ("odd", 1.0), ("odd", -0.5), ("odd", float("-inf"))]
+    d = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    at = [0.0, 0.25, 0.5, 0.9, 0.333, 1.0]
+    want = {r.k: r.p for r in d.groupBy("k").agg(F.percentile("v", F.array(*map(F.lit, at))).alias("p")).collect()}
+    got = {r.k: list(r)[1:] for r in percentiles(d, "k", "v", at).collect()}
+    assert set(got) == set(want)
+    for k, p in want.items():
+        assert got[k] == [None] * len(at) if p is None else np.array_equal(got[k], p, equal_nan=True), k
+    assert percentiles(d.limit(0), "k", "v", at).count() == 0
+
+
 def test_semantic(spark):
     class Stub:
         def encode(self, texts):
