@@ -8,6 +8,7 @@ integer inverse transform turns into samples; chroma is upsampled and converted
 
 from __future__ import annotations
 
+import re
 import struct
 
 import numpy as np
@@ -249,8 +250,12 @@ def encode(payload: np.ndarray, blocks: np.ndarray) -> list[bytes]:
 # ---------------------------------------------------------------- decoder
 
 
+#: A marker that ends entropy-coded data: neither a stuffed byte nor a restart.
+MARKER = re.compile(rb"\xff[^\x00\xd0-\xd7]")
+
+
 class Image:
-    __slots__ = ("comps", "h", "is_rgb", "mcux", "mcuy", "quant", "scans", "w")
+    __slots__ = ("comps", "h", "is_rgb", "mcux", "mcuy", "orders", "quant", "scans", "w")
 
 
 def parse(data: bytes) -> Image:
@@ -259,7 +264,7 @@ def parse(data: bytes) -> Image:
     if data[:2] != b"\xff\xd8":
         raise ValueError("no JPEG")
     im, at, quant, tables, interval = Image(), 2, {}, {}, 0
-    im.scans, im.is_rgb = [], False
+    im.scans, im.orders, im.is_rgb = [], {}, False
     while True:
         at = data.index(b"\xff", at)
         marker = data[at + 1]
@@ -303,13 +308,10 @@ def parse(data: bytes) -> Image:
             which = tuple((next(k for k, c in enumerate(im.comps) if c[0] == body[1 + 2 * i]), body[2 + 2 * i]) for i in range(n))
             ss, se, ahl = body[1 + 2 * n : 4 + 2 * n]
             used = tuple(tables.get(t >> 4, b"") if ss == 0 else tables.get(0x10 | t & 15, b"") for _, t in which)
-            end = at
-            while True:
-                end = data.index(b"\xff", end)
-                if data[end + 1] == 0 or 0xD0 <= data[end + 1] <= 0xD7:
-                    end += 2
-                else:
-                    break
+            behind = MARKER.search(data, at)
+            if not behind:
+                raise ValueError("a scan without an end")
+            end = behind.start()
             im.scans.append(((tuple(c for c, _ in which), ss, se, ahl >> 4, ahl & 15, interval, used), at, end))
             at = end
     im.quant = [quant[c[7]] for c in im.comps]
@@ -514,7 +516,13 @@ def coefficients(files: list[bytes]) -> tuple[np.ndarray, list[Image], list[list
 
 
 def scan_order(im: Image, first: list[int], comps: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, int]:
-    """Block rows in the order of a scan, the component slot of each, and blocks per MCU."""
+    """Block rows in the order of a scan, the component slot of each, and blocks per MCU; found once an image."""
+    if comps not in im.orders:
+        im.orders[comps] = _scan_order(im, first, comps)
+    return im.orders[comps]
+
+
+def _scan_order(im, first, comps):
     if len(comps) == 1:
         _, _, _, wide, _, bw, bh, _ = im.comps[comps[0]]
         o = (np.arange(bh)[:, None] * wide + np.arange(bw) + first[comps[0]]).ravel()
