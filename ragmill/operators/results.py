@@ -187,8 +187,10 @@ def sample_contexts(docs: DataFrame, n: int, hops: int, seed: str, least: int =
 
 
 def accept_until(attempts: DataFrame, n: int, most_failures: int | None = None) -> DataFrame:
-    """The first ``n`` valid attempts (attempt, valid) before the failures reach 10 n."""
+    """The first ``n`` valid attempts (attempt, valid) before the failures reach 10 n. An attempt of unknown validity is
+    neither. What is accepted stands among the first n + failures attempts, so that no more are ranked in one task."""
     most = 10 * n if most_failures is None else most_failures
+    attempts = attempts.where("valid IS NOT NULL").orderBy("attempt").limit(max(0, n + most - 1))
     w = W.orderBy("attempt").rowsBetween(W.unboundedPreceding, W.currentRow)
     got = attempts.withColumn("bad", F.sum((~F.col("valid")).cast("int")).over(w)).withColumn("good", F.sum(F.col("valid").cast("int")).over(w))
     return got.where(F.col("valid") & (F.col("good") <= n) & (F.col("bad") < most)).drop("bad", "good")

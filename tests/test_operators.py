@@ -153,6 +153,15 @@ def test_replies(spark):
     tries = spark.createDataFrame([(i, i % 3 == 0) for i in range(30)], "attempt int, valid boolean")
     assert [r.attempt for r in rs.accept_until(tries, 3).collect()] == [0, 3, 6]
     assert rs.accept_until(tries, 9, 4).count() == 2
+    flags = [bool(x) if x < 2 else None for x in np.random.default_rng(2).integers(0, 3, 60).tolist()]
+    odd = spark.createDataFrame(list(enumerate(flags)), "attempt long, valid boolean").repartition(4)
+    for n, most in ((0, 5), (1, 1), (5, 3), (7, 40), (50, 9), (3, 0)):
+        want, good, bad = [], 0, 0
+        for i, x in enumerate(flags):
+            good, bad = good + (x is True), bad + (x is False)
+            if x and good <= n and bad < most:
+                want.append(i)
+        assert sorted(r.attempt for r in rs.accept_until(odd, n, most).collect()) == want
 
 
 def test_length_order(spark):
