@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+#: Spark removes an execution's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -30,10 +33,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write ``df`` to the shared folder and read it back with the schema it had."""
+    """Cut lineage: write ``df`` to the shared folder and read it back with the schema it had. Its shuffle files go as
+    soon as it is written, not when the driver happens to collect its garbage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ragmill-{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     back = spark.read.schema(df.schema).parquet(path)
     back._ragmill_path = path
     return back

@@ -10,6 +10,8 @@ result is exact up to collisions of 64-bit hashes.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +30,11 @@ SALTS = 64
 REMEMBER = 1 << 16
 #: Buckets beyond the bound; a set with more empty ones also shows them.
 SPARE = 1
+#: Scans in which the buckets of a scheme with extra ones are dealt out, each a range of their hashes: so much less of the
+#: disk holds them at a time.
+PASSES = 4
+#: Sides of a bucket whose pairs are counted; a bucket of more is told by its smallest side.
+RARE = 16
 
 
 class Words(dict):
@@ -130,9 +137,9 @@ def fingerprints(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long")
 
 
-def bucket_hashes(docs: DataFrame, width: int, percent: int) -> DataFrame:
+def bucket_hashes(docs: DataFrame, width: int, percent: int, part: int = 0, parts: int = 1) -> DataFrame:
     """(side, need, sigs): the buckets of a set in its own class or the next, and how many it needs to share there to
-    link. A side is twice the node, plus one for the next class. A task passes a text on once, as far as it remembers;
+    link; of the buckets those in one of ``parts`` ranges of their hashes. A side is twice the node, plus one for the next class. A task passes a text on once, as far as it remembers;
     what it passes on again changes nothing but the work."""
 
     def run(batches):
@@ -154,6 +161,8 @@ def bucket_hashes(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     continue
                 own, node = int(scheme.size_class(len(g))), node_of(g)
                 for group, least, sig in scheme.signatures(g):
+                    if parts > 1:
+                        sig = sig[(sig >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32) == part]
                     side.append((node << 1 | int(group != own)) - (1 << 63))
                     need.append(least)
                     sigs.append(sig.view(np.int64))
@@ -164,24 +173,63 @@ def bucket_hashes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return docs.where("doc_id IS NOT NULL").select("text").mapInArrow(run, "side long, need int, sigs array<long>")
 
 
-def candidates(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b) of nodes such that any two that link are joined by way of others: nodes that share a bucket with the
-    smallest that has it, once those are gone that share too few buckets to link at all.
+def shared_buckets(docs: DataFrame, width: int, percent: int, part: int, parts: int) -> DataFrame:
+    """(side, need, sig) of the buckets in one range that more sides than one have.
 
-    The one large shuffle carries a side, a number and a bucket; a bucket of very many sets spills, and is not held."""
-    rows = bucket_hashes(docs, width, percent).select("side", "need", F.explode("sigs").alias("sig"))
+    The shuffle carries a side, a number and a bucket; a bucket of very many sets spills, and is not held."""
+    rows = bucket_hashes(docs, width, percent, part, parts).select("side", "need", F.explode("sigs").alias("sig"))
     whole = W.partitionBy("sig")
     rows = rows.withColumn("first", F.min("side").over(whole)).withColumn("last", F.max("side").over(whole)).where("first <> last")
-    shared = materialize(rows.select("side", "need", "sig").distinct(), "shared_buckets")
+    return materialize(rows.select("side", "need", "sig").distinct(), "shared_buckets")
+
+
+def node_of_side(side) -> F.Column:
+    return F.shiftright(side, 1) + (1 << 62)
+
+
+def stars(rows: DataFrame) -> DataFrame:
+    """(a, b): the node of each of ``rows`` (side, sig) and the smallest node of its bucket."""
+    first = F.min("node").over(W.partitionBy("sig").orderBy("node").rowsBetween(W.unboundedPreceding, W.currentRow))
+    return rows.select(node_of_side("side").alias("node"), "sig").select(F.col("node").alias("a"), first.alias("b"))
+
+
+def sharing(left: DataFrame) -> DataFrame:
+    """(a, b) of nodes such that any two that share as many of the buckets ``left`` (side, need, sig) as they need are joined.
+
+    The pairs in buckets of up to RARE sides are counted. A side that has ``often`` larger buckets besides shares at least
+    need - often of the small ones with what it links with, so that pairs of fewer go. Larger buckets join all their sides, but of
+    a side only those that are left without its need - 1 largest: of need shared buckets one is left on both sides, as all
+    order them alike."""
+    left = left.withColumn("sides", F.count("*").over(W.partitionBy("sig"))).where("sides > 1")
+    of_side = W.partitionBy("side")
+    left = left.withColumn("often", F.count_if(F.col("sides") > RARE).over(of_side)).withColumn("nth", F.row_number().over(of_side.orderBy(F.desc("sides"), "sig")))
+    left = materialize(left.withColumn("gap", (F.col("need") - F.col("often")).cast("int")).select("side", "sig", "sides", "gap", (F.col("nth") >= F.col("need")).alias("kept")), "ordered_buckets")
+    few = left.where(F.col("sides") <= RARE).groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("side", "gap"))).alias("all"))
+    few = few.select("all", F.posexplode("all").alias("at", "b")).select("b", F.explode(F.expr("slice(all, at + 2, size(all))")).alias("a"))
+    pairs = few.select(F.col("a.side").alias("a"), F.col("b.side").alias("b"), F.greatest("a.gap", "b.gap").alias("gap")).groupBy("a", "b", "gap").agg(F.count("*").alias("k"))
+    pairs = pairs.where("k >= gap").select(node_of_side("a").alias("a"), node_of_side("b").alias("b"))
+    edges = materialize(pairs.union(stars(left.where((F.col("sides") > RARE) & F.col("kept")))).where("a <> b").distinct(), "sharing")
+    discard(left)
+    return edges
+
+
+def candidates(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b) of nodes such that any two that link are joined by way of others, once those are gone that share too few
+    buckets to link at all: nodes that share enough buckets, or, where one is enough, a bucket with the smallest that has it.
+
+    A scheme with extra buckets has several times as many, and is scanned PASSES times."""
+    extra = Scheme(percent).extra > 0
+    parts = PASSES if extra else 1
+    ranges = [shared_buckets(docs, width, percent, k, parts) for k in range(parts)]
+    shared = reduce(DataFrame.union, ranges)
     enough = shared.groupBy("side", "need").agg(F.count("*").alias("k")).where("k >= need").select("side")
     alive = materialize(enough, "alive")
-    left = shared.join(alive, "side", "left_semi").select((F.shiftright("side", 1) + (1 << 62)).alias("node"), "sig")
-    first = F.min("node").over(W.partitionBy("sig").orderBy("node").rowsBetween(W.unboundedPreceding, W.currentRow))
-    stars = materialize(left.select(F.col("node").alias("a"), first.alias("b")).where("a <> b").distinct(), "stars")
-    discard(shared, alive)
+    left = shared.join(alive, "side", "left_semi")
+    edges = sharing(left) if extra else materialize(stars(left).where("a <> b").distinct(), "stars")
+    discard(*ranges, alive)
     # a node with several centres joins them: through the smallest, so that all nodes of a family say the same
-    stars = stars.withColumn("c", F.min("b").over(W.partitionBy("a")))
-    return stars.select("a", F.col("c").alias("b")).union(stars.where("b <> c").select(F.col("b").alias("a"), F.col("c").alias("b"))).distinct()
+    edges = edges.withColumn("c", F.min("b").over(W.partitionBy("a")))
+    return edges.select("a", F.col("c").alias("b")).union(edges.where("b <> c").select(F.col("b").alias("a"), F.col("c").alias("b"))).distinct()
 
 
 def overlaps(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray, scheme: Scheme, most: int = 1 << 22):

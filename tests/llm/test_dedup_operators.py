@@ -2,12 +2,13 @@
 
 import hashlib
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
-from ragmill.llm import op2_jaccard, op3_suffix, op10_decontaminate, suffix
+from ragmill.llm import common, op2_jaccard, op3_suffix, op10_decontaminate, suffix
 from ragmill.llm.components import components
 
 ODD = [(1, None), (2, ""), (3, "x"), (4, "x"), (None, "a b c d"), (5, " \t\n"), (6, "w " * 30000), (7, "W " * 30000)]
@@ -101,6 +102,59 @@ def test_jaccard_odd(spark):
     assert kept.columns == odd(spark).columns and {r.doc_id for r in kept.collect()} == {1, 2, 3, None, 5, 6}
 
 
+def test_strangers_that_share_passages_with_many_are_no_candidates(spark):
+    """Each document shares its passages with several others and nearly equals only its own copy: candidates are the
+    copies, not one component that grows with the table."""
+    rng = random.Random(5)
+    passages = [" ".join(f"p{p}w{i}" for i in range(60)) for p in range(40)]
+    texts = [" ".join(passages[p] for p in sorted(rng.sample(range(40), 5))) for _ in range(80)]
+    texts += [x + " more" for x in texts[:8]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = components(op2_jaccard.candidates(docs, 5, 80)).groupBy("component").count().collect()
+    assert max(r["count"] for r in found) <= 8
+    want = brute_components(texts, 5, 80)
+    assert {r.doc_id for r in op2_jaccard.one_of_each(docs).collect()} == {i for i, (_, c) in want.items() if c == i}
+
+
+def test_sides_that_share_enough_buckets_are_joined(spark):
+    """Families in buckets below and above RARE, and strangers in large ones."""
+    rng = random.Random(7)
+    of = {}
+    for side in range(150):
+        family = side % 3 if side < 90 else side // 2
+        of[side] = {family * 100 + k for k in range(20) if rng.random() < 0.9} | {10000 + rng.randrange(6) for _ in range(4)} | {20000 + side}
+    need = {side: 6 + side % 4 for side in of}
+    name = lambda side: (side << 1) - (1 << 62)
+    left = spark.createDataFrame([(name(side), need[side], sig) for side, sigs in of.items() for sig in sorted(sigs)], "side long, need int, sig long")
+    got = {r.node: r.component for r in components(op2_jaccard.sharing(left)).collect()}
+    node = lambda side: (name(side) >> 1) + (1 << 62)
+    joined = [(a, b) for a in of for b in of if a < b and len(of[a] & of[b]) >= max(need[a], need[b])]
+    assert len(joined) > 1000 and all(got[node(a)] == got[node(b)] for a, b in joined)
+    assert got[node(90)] != got[node(92)]
+
+
+def test_ranges_of_buckets_are_all_buckets_once(spark):
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(300))), (2, "a b c"), (3, None)], "doc_id long, text string")
+    rows = lambda *part: [(r.side, r.need, x) for r in op2_jaccard.bucket_hashes(docs, 5, 80, *part).collect() for x in r.sigs]
+    parts, whole = [rows(k, op2_jaccard.PASSES) for k in range(op2_jaccard.PASSES)], rows()
+    assert sorted(x for part in parts for x in part) == sorted(whole)
+    assert all(len(part) < len(whole) / 2 for part in parts)
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    """They go with the write, not when the driver collects its garbage; the session's setting stays."""
+    before = spark.conf.get(common.CLEANUP, None)
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f.getName() for f in (lambda x: [x.apply(i) for i in range(x.size())])(disk.getAllFiles()) if f.getName().endswith(".data")}
+    old = files()
+    back = common.materialize(spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count(), "counts")
+    until = time.time() + 10
+    while files() - old and time.time() < until:
+        time.sleep(0.1)
+    assert not files() - old and back.count() == 7
+    assert spark.conf.get(common.CLEANUP, None) == before
+
+
 @pytest.mark.parametrize("percent", [80, 90])
 def test_linked_sets_share_enough_buckets(percent):
     """However few buckets a set fills: what it shares with any that it links with is no less than it needs."""
