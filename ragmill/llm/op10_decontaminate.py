@@ -20,8 +20,6 @@ from ragmill.llm.op3_suffix import Rolling
 BITS = 15
 VOCABULARY = 1 << BITS
 RANK = 28
-#: Documents whose passages the singular vectors are fitted on.
-FIT_DOCUMENTS = 8192
 #: Leading singular vectors that are left out: they tell languages and the commonest words, not passages.
 COMMON = 4
 STEP = 8  # words; windows are two or three steps long, for items below or from LONG words
@@ -35,6 +33,7 @@ HOLD = 0.35
 FOLD = 8
 ITEMS_AT_ONCE = 1600
 BLOCKS = 32  # pieces in which sketches are summed
+OFTEN = 64  # places of a bucket that are added one by one
 
 
 class Vocabulary:
@@ -100,6 +99,43 @@ def passage_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
     return df[:-1], int(df[-1])
 
 
+def summed(rows: np.ndarray, ids: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The sum of the rows that each run of ``ids`` names; runs begin at ``start`` and have at most WIDTH ids. The last of
+    ``rows`` is zero."""
+    out = np.zeros((len(start), rows.shape[1]), rows.dtype)
+    size = np.diff(np.append(start, len(ids)))
+    for k in range(WIDTH):
+        out += rows.take(np.where(k < size, ids.take(start + k, mode="clip"), len(rows) - 1), axis=0)
+    return out
+
+
+def scattered(y: np.ndarray, ids: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, rows): for each bucket of ``ids`` the sum of ``y`` over the runs it stands in, once for each time.
+
+    A bucket's first OFTEN places are added one after the other, for all buckets at once; what is left is of few buckets
+    and is a dense product."""
+    run = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(ids))))
+    order = np.argsort(ids, kind="stable")
+    there, run = ids[order], run[order]
+    head = np.flatnonzero(np.concatenate(([True], there[1:] != there[:-1])))
+    size = np.diff(np.append(head, len(there)))
+    common_first = np.argsort(-size, kind="stable")
+    head, size = head[common_first], size[common_first]
+    out = np.zeros((len(head), y.shape[1]), y.dtype)
+    for k in range(min(OFTEN, int(size[0]))):
+        m = np.searchsorted(-size, -k, side="left")
+        out[:m] += y.take(run[head[:m] + k], axis=0)
+    many = int(np.searchsorted(-size, -OFTEN, side="left"))
+    wide = max(1, (1 << 20) // len(y))  # so many counts at a time
+    for lo in range(0, many, wide):
+        more = size[lo : min(lo + wide, many)] - OFTEN
+        column = np.repeat(np.arange(len(more)), more)
+        place = np.repeat(head[lo : lo + len(more)] + OFTEN - np.cumsum(more) + more, more) + np.arange(len(column))
+        count = np.bincount(column * len(y) + run[place], minlength=len(more) * len(y)).reshape(len(more), len(y))
+        out[lo : lo + len(more)] += count.astype(y.dtype) @ y
+    return there[head], out
+
+
 def sketch(docs: DataFrame, idf: np.ndarray, omega: np.ndarray) -> np.ndarray:
     """A'A omega for the passages' normalised TF-IDF matrix A, summed in BLOCKS pieces on the cluster."""
 
@@ -107,19 +143,16 @@ def sketch(docs: DataFrame, idf: np.ndarray, omega: np.ndarray) -> np.ndarray:
         import pyarrow as pa
 
         known, out = Vocabulary(), np.zeros((VOCABULARY, omega.shape[1]))
-        weighted, square = (idf[:, None] * omega).astype(np.float32), (idf * idf).astype(np.float32)
+        weighted, square = (np.vstack((idf[:, None] * omega, np.zeros(omega.shape[1])))).astype(np.float32), (idf * idf).astype(np.float32)
         for t in text_buffers(batches, "text", 1 << 20):
             ids, offs = known.buckets(t.data, t.offs)
             start, _ = cuts(offs, WIDTH)
             if not len(ids):
                 continue
-            y = np.add.reduceat(weighted[ids], start, axis=0)
+            y = summed(weighted, ids, start)
             y /= np.maximum(np.add.reduceat(square[ids], start), 1e-6)[:, None]
-            passage = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(ids))))
-            order = np.argsort(ids, kind="stable")
-            there = ids[order]
-            head = np.flatnonzero(np.concatenate(([True], there[1:] != there[:-1])))
-            out[there[head]] += np.add.reduceat(y[passage[order]], head, axis=0)
+            bucket, part = scattered(y, ids, start)
+            out[bucket] += part
         out *= idf[:, None]
         if out.any():
             size = VOCABULARY // BLOCKS
@@ -155,16 +188,18 @@ class Space:
     term: np.ndarray
 
 
-def fit_sample(docs: DataFrame, most: int = FIT_DOCUMENTS) -> DataFrame:
-    """The rows whose ids hash lowest, ``most`` of them expected; all if there are fewer."""
+def fit_sample(docs: DataFrame, most: int | None = None) -> DataFrame:
+    """The rows that singular vectors are fitted on: all of them. Only a caller that gives ``most`` gets fewer, the rows whose
+    ids hash lowest, so many of them expected."""
+    if most is None:
+        return docs
     part = min(1.0, most / max(1, docs.count()))
     return docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(part * (1 << 20)))
 
 
 def fit(docs: DataFrame, rank: int = RANK, seed: int = 3) -> Space:
     """The latent space of the passages of ``docs``; without any, one of a random projection. Document frequencies
-    are of all passages, the singular vectors of the passages of about FIT_DOCUMENTS documents; every passage is
-    searched, and the tests measure recall against brute force."""
+    and singular vectors are of all passages, every passage is searched, and the tests measure recall against brute force."""
     df, n = passage_counts(docs)
     idf = np.log((n + 1) / (df + 1)) + 0.1
     omega = np.random.default_rng(seed).normal(size=(VOCABULARY, COMMON + rank + 6))

@@ -367,6 +367,26 @@ def test_decontamination_finds_what_judge_accepts(spark, monkeypatch):
         assert len(some) >= 20 and sum(some) >= 0.95 * len(some), (share, sum(some), len(some))
 
 
+def test_decontamination_is_fitted_on_all_passages(spark, monkeypatch):
+    """More documents than any sample held: the sketch is that of brute force over all of them."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(60)]
+    picks = rng.integers(0, len(words), (12000, 5))
+    docs = spark.createDataFrame([(i, " ".join(words[k] for k in x)) for i, x in enumerate(picks.tolist())], "doc_id long, text string")
+    seen, real = [], op10_decontaminate.sketch
+    monkeypatch.setattr(op10_decontaminate, "sketch", lambda docs, idf, omega: seen.append((idf, omega, real(docs, idf, omega))) or seen[-1][2])
+    op10_decontaminate.fit(docs)
+    (idf, omega, y), raw = seen[0], np.frombuffer(" ".join(words).encode(), np.uint8)
+    bucket = op10_decontaminate.Vocabulary().buckets(raw, np.array([0, len(raw)]))[0]
+    a = np.zeros((len(picks), op10_decontaminate.VOCABULARY), np.float32)
+    for k in range(5):
+        a[np.arange(len(picks)), bucket[picks[:, k]]] += 1
+    some = np.unique(bucket)
+    a = a[:, some] * idf[some]
+    a /= np.sqrt((idf[bucket[picks]] ** 2).sum(axis=1))[:, None]
+    assert np.allclose(y[some], a.T @ (a @ omega[some]), rtol=1e-3, atol=1e-3 * np.abs(y).max())
+
+
 def test_decontamination_pages_through_rows_of_one_id(spark, monkeypatch):
     monkeypatch.setattr(op10_decontaminate, "ITEMS_AT_ONCE", 3)
     texts = [" ".join(f"{c}{i}" for i in range(20)) for c in "abcdefgh"]
