@@ -433,6 +433,17 @@ def test_stages_keep_documents_without_an_id(spark, sf):
     assert sorted((r.doc_id or 0, r.text) for r in clean) == [(0, two), (1, one), (2, one)]
 
 
+def test_pipeline_fits_decontamination_on_all_it_gets(spark, sf, monkeypatch):
+    """More documents than any sample held, repeated and null ids among them."""
+    import corpus_pipeline as p
+
+    seen, real = [], op10_decontaminate.sketch
+    monkeypatch.setattr(op10_decontaminate, "sketch", lambda docs, idf, omega: seen.append(docs.count()) or real(docs, idf, omega))
+    docs = spark.range(12000).selectExpr("nullif(id % 11000, 5) AS doc_id", "concat('w', id % 50, ' x', id % 7, ' y', id) AS text")
+    assert p.decontamination(spark, docs, sf).count() == 12000
+    assert seen == [12000]
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as p
 
