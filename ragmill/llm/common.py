@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -32,17 +33,24 @@ def shared_dir(spark: SparkSession) -> str:
     return there
 
 
+@contextmanager
+def tidy(spark: SparkSession):
+    """Shuffle files of what runs within go at its end."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write ``df`` to the shared folder and read it back with the schema it had. Its shuffle files go as
     soon as it is written, not when the driver happens to collect its garbage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ragmill-{uuid.uuid4().hex}/{name}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with tidy(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     back = spark.read.schema(df.schema).parquet(path)
     back._ragmill_path = path
     return back

@@ -8,10 +8,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragmill.llm.common import bounded_sample, held_out, table, text_buffers
+from ragmill.llm.common import bounded_sample, discard, free_name, held_out, materialize, table, text_buffers, tidy
 
 ORDERS = (3, 5, 7)
 BITS = 18
+BLOCKS, SUMS = 16, 16  # pieces in which vectors are summed, and sums that the driver adds
+MARKS = 1 << 26  # bits that tell ids
 
 
 def grams(text: str, scratch: np.ndarray) -> np.ndarray:
@@ -53,49 +55,224 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def fit(texts: list[str], labels: np.ndarray, smooth: float = 1.0, l2: float = 1e-4, steps: int = 200, least_z: float = 3.0, share: float = 0.25, rate: float = 0.05) -> Model:
+def slopes(v: np.ndarray, bias: float, toxic: np.ndarray, size: np.ndarray, cols: np.ndarray, weigh: tuple[float, float]) -> np.ndarray:
+    """Of some texts, ``size`` features of ``cols`` each: loss, its slope by the bias, and by what each feature adds to a sum."""
+    scale = 1 / np.sqrt(1 + size)
+    z = np.bincount(np.repeat(np.arange(len(size)), size), v[cols], len(size)) * scale + bias
+    weight = np.where(toxic > 0, weigh[1], weigh[0])
+    err = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - toxic)
+    loss = weight @ np.logaddexp(0, np.where(toxic > 0, -z, z))
+    return np.concatenate(([loss, err.sum()], np.bincount(cols, np.repeat(err * scale, size), len(v))))
+
+
+def minimum(f, x: np.ndarray, steps: int, least: float = 1e-3, kept: int = 10) -> np.ndarray:
+    """Where the convex ``f`` (value and gradient) is least, by L-BFGS from ``x``: until the gradient is ``least`` of the first,
+    or nothing falls any more."""
+    value, g = f(x)
+    first, pairs = np.linalg.norm(g), []
+    for _ in range(steps):
+        if np.linalg.norm(g) <= least * first:
+            break
+        d, parts = g.copy(), []
+        for s, y in reversed(pairs):
+            parts.append(s @ d / (s @ y))
+            d -= parts[-1] * y
+        d *= pairs[-1][0] @ pairs[-1][1] / (pairs[-1][1] @ pairs[-1][1]) if pairs else 1 / first
+        for s, y in pairs:
+            d += s * (parts.pop() - y @ d / (s @ y))
+        t = 1.0
+        while t > 1e-6:
+            there, slope = f(x - t * d)
+            if there <= value - 1e-4 * t * (g @ d):
+                break
+            t /= 2
+        else:
+            break
+        if (g - slope) @ d > 0:
+            pairs = [*pairs[1 - kept :], (-t * d, slope - g)]
+        x, value, g = x - t * d, there, slope
+    return x
+
+
+def telling(df1: np.ndarray, df0: np.ndarray, n1: float, n0: float, smooth: float, least_z: float) -> tuple[np.ndarray, np.ndarray]:
+    """Log-count ratio of each bucket, and whether it tells the labels apart by ``least_z`` standard errors."""
+    ratio = np.log((df1 + smooth) / (n1 + 2 * smooth)) - np.log((df0 + smooth) / (n0 + 2 * smooth))
+    return ratio, np.abs(ratio) / np.sqrt(1 / (df1 + smooth) + 1 / (df0 + smooth)) >= least_z
+
+
+def learn(total, ratio: np.ndarray, use: np.ndarray, bias: float, l2: float, steps: int) -> Model:
+    """The regression over the features of ``use``; ``total(v, bias)`` gives ``slopes`` summed over all texts."""
+    r = ratio[use]
+
+    def f(x):
+        w, got = x[:-1], total(x[:-1] * r, x[-1])
+        return got[0] + l2 / 2 * (w @ w), np.append(r * got[2:] + l2 * w, got[1])
+
+    x = minimum(f, np.append(np.full(len(r), 0.02), bias), steps)
+    weight = np.zeros(1 << BITS, np.float32)
+    weight[use] = x[:-1] * r
+    return Model(weight, float(x[-1]), use)
+
+
+def constant(toxic: bool) -> Model:
+    return Model(np.zeros(1 << BITS, np.float32), 40.0 if toxic else -40.0, np.zeros(1 << BITS, bool))
+
+
+def fit(texts: list[str], labels: np.ndarray, smooth: float = 1.0, l2: float = 1e-4, steps: int = 200, least_z: float = 3.0, share: float = 0.25) -> Model:
     """Binary features that tell the labels apart by ``least_z`` standard errors, times their log-count ratios,
     over the root of how many a text has; ``share`` is the weight of label 1. Without rows of both labels the
     model is constant: the share of label 1, or 0 without any rows."""
-    size = 1 << BITS
     y = np.asarray(labels, np.float64)
     if len(y) == 0 or y.min() == y.max():
-        return Model(np.zeros(size, np.float32), 40.0 if len(y) and y[0] > 0 else -40.0, np.zeros(size, bool))
-    scratch = np.zeros(size, np.int32)
-    n1, n0 = max(y.sum(), 1), max((1 - y).sum(), 1)
-    df1, df0 = np.zeros(size), np.zeros(size)
+        return constant(len(y) > 0 and y[0] > 0)
+    scratch = np.zeros(1 << BITS, np.int32)
+    n1, n0 = y.sum(), (1 - y).sum()
+    df1, df0 = np.zeros(1 << BITS), np.zeros(1 << BITS)
     for t, lab in zip(texts, y, strict=True):
         (df1 if lab else df0)[grams(t, scratch)] += 1
-    ratio = np.log((df1 + smooth) / (n1 + 2 * smooth)) - np.log((df0 + smooth) / (n0 + 2 * smooth))
-    sure = np.abs(ratio) / np.sqrt(1 / (df1 + smooth) + 1 / (df0 + smooth))  # ratios in standard errors
-    use = sure >= least_z
+    ratio, use = telling(df1, df0, n1, n0, smooth, least_z)
     to = np.cumsum(use) - 1
     # all n-grams of all texts are never held at once
     x = [to[g[use[g]]].astype(np.int32) for g in (grams(t, scratch) for t in texts)]
-    cols = np.concatenate(x)
-    doc = np.repeat(np.arange(len(x)), [len(i) for i in x])
-    r = ratio[use]
-    w, b = np.full(len(r), 0.02), float(np.log(n1 / n0))
-    scale = 1 / np.sqrt(1 + np.bincount(doc, minlength=len(y)))
-    weigh = np.where(y > 0, share / n1, (1 - share) / n0)
-    m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    for step in range(1, steps + 1):
-        z = np.bincount(doc, (w * r)[cols], len(y)) * scale + b
-        err = weigh * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
-        g = r * np.bincount(cols, (err * scale)[doc], len(r)) + l2 * w
-        gb = err.sum()
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
-        a, c = 1 - 0.9**step, 1 - 0.999**step
-        w -= rate * (m / a) / (np.sqrt(v / c) + 1e-8)
-        b -= 0.05 * (mb / a) / (np.sqrt(vb / c) + 1e-8)
-    weight = np.zeros(size, np.float32)
-    weight[use] = w * r
-    return Model(weight, b, use)
+    cols, size = np.concatenate(x), np.array([len(i) for i in x])
+    weigh = ((1 - share) / n0, share / n1)
+    return learn(lambda v, b: slopes(v, b, y, size, cols, weigh), ratio, use, float(np.log(n1 / n0)), l2, steps)
+
+
+def marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id may be one of ``ids``: all that are, few others while the ids are few beside MARKS. A
+    bitmap of hashes, of a fixed size, tells them, so that a join to follow shuffles no other texts."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS))
+    bits = np.zeros(MARKS // 8, np.uint8)
+    found = ids.select((place + 1).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("nth")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    for r in found.collect():
+        part = np.frombuffer(r.bits, np.uint8)
+        bits[(r.nth - 1) * len(part) : r.nth * len(part)] = part
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            at = b.column(b.num_columns - 1).to_numpy()
+            yield b.filter(pa.array((bits[at >> 3] >> (at & 7) & 1).astype(bool)))
+
+    mark = free_name(docs, "mark")
+    whole = docs.withColumn(mark, place)
+    return whole.mapInArrow(run, whole.schema).drop(mark)
+
+
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(text, toxic) of every labelled document that is not held out. Null labels and texts are not used; of repeated
+    labels the larger counts, of repeated documents the text that sorts first."""
+    lab = labels.where(F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    rows = marked(docs.where(F.col("text").isNotNull() & ~held_out()).select(F.col("doc_id").cast(lab.schema["doc_id"].dataType), "text"), lab.select("doc_id"))
+    rows = rows.join(lab, "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
+
+
+def added(rows: DataFrame, run, n: int) -> np.ndarray:
+    """The sum of the vectors of ``n`` numbers that ``run`` makes of the batches of each task (None: nothing), in BLOCKS
+    pieces: the cluster adds those of tasks whose numbers agree modulo SUMS, the driver the SUMS that are left."""
+    size = -(-n // BLOCKS)
+
+    def parts(batches):
+        import pyarrow as pa
+
+        got = run(batches)
+        if got is not None:
+            got = np.append(got, np.zeros(size * BLOCKS - n)).reshape(BLOCKS, size)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(BLOCKS, dtype=np.int32)), pa.array([x.tobytes() for x in got], pa.binary())], names=["block", "part"])
+
+    def add(t):
+        import pyarrow as pa
+
+        t = t.sort_by("task")  # equal tables, equal sums
+        whole = sum(np.frombuffer(x, np.float64) for x in t.column("part").to_pylist())
+        return pa.table({"block": t.column("block")[:1], "half": t.column("half")[:1], "part": pa.array([whole.tobytes()], pa.binary())})
+
+    each = rows.mapInArrow(parts, "block int, part binary").withColumn("task", F.spark_partition_id()).withColumn("half", F.col("task") % SUMS)
+    out = np.zeros((BLOCKS, size))
+    with tidy(rows.sparkSession):
+        got = each.groupBy("block", "half").applyInArrow(add, "block int, half int, part binary").collect()
+    for r in sorted(got, key=lambda r: r.half):
+        out[r.block] += np.frombuffer(r.part, np.float64)
+    return out.ravel()[:n]
+
+
+def packed(cols: np.ndarray) -> bytes:
+    """Ascending numbers as steps of one byte; 255 goes on so far without a number."""
+    step = np.diff(cols, prepend=0)
+    out = np.full(len(cols) + int((step // 255).sum()), 255, np.uint8)
+    out[np.cumsum(step // 255 + 1) - 1] = step % 255
+    return out.tobytes()
+
+
+def unpacked(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(how many numbers each row has, the numbers) of rows of ``packed`` bytes that begin and end at ``offs``."""
+    at = np.flatnonzero(data != 255)
+    run = np.concatenate(([0], np.cumsum(data, dtype=np.int64)))
+    size = np.diff(np.searchsorted(at, offs))
+    return size, run[at + 1] - np.repeat(run[offs[:-1]], size)
+
+
+def fit_all(docs: DataFrame, labels: DataFrame, smooth: float = 1.0, l2: float = 1e-4, steps: int = 200, least_z: float = 3.0, share: float = 0.25) -> Model:
+    """``fit`` on every row of ``labelled``, of whatever number and length: the texts stay on the cluster, which sums counts
+    and slopes; the driver holds numbers by bucket."""
+    import pyarrow as pa
+
+    buckets = 1 << BITS
+    rows = materialize(labelled(docs, labels), "labelled")
+
+    def count(batches):
+        scratch, out = np.zeros(buckets, np.int32), np.zeros((2, buckets + 1))
+        for t in text_buffers(batches, "text"):
+            for i, toxic in enumerate(t.batch.column("toxic").to_pylist()):
+                out[toxic, grams(t.raw(i).decode("utf-8", "replace"), scratch)] += 1
+                out[toxic, -1] += 1
+        return out.ravel() if out[:, -1].any() else None
+
+    df0, df1 = added(rows, count, 2 * (buckets + 1)).reshape(2, -1)
+    n0, n1 = df0[-1], df1[-1]
+    if not n0 or not n1:
+        discard(rows)
+        return constant(n1 > 0)
+    ratio, use = telling(df1[:-1], df0[:-1], n1, n0, smooth, least_z)
+    to, weigh = (np.cumsum(use) - 1).astype(np.int32), ((1 - share) / n0, share / n1)
+
+    def features(batches):
+        scratch = np.zeros(buckets, np.int32)
+        for t in text_buffers(batches, "text"):
+            each = (grams(t.raw(i).decode("utf-8", "replace"), scratch) for i in range(len(t)))
+            cols = pa.array([packed(np.sort(to[g[use[g]]])) for g in each], pa.binary())
+            yield pa.RecordBatch.from_arrays([t.batch.column("toxic"), cols], names=["toxic", "cols"])
+
+    lists = materialize(rows.mapInArrow(features, "toxic int, cols binary"), "features")
+
+    def total(v, bias):
+        def run(batches):
+            out = None
+            for b in batches:
+                toxic, cols = b.column("toxic").to_numpy(), b.column("cols").cast(pa.large_binary())
+                _, offsets, raw = cols.buffers()
+                offs = np.frombuffer(offsets, np.int64)[cols.offset : cols.offset + len(cols) + 1]
+                data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
+                at = 0
+                while at < len(cols):  # so many numbers at a time
+                    to = min(max(int(np.searchsorted(offs, offs[at] + (1 << 20), side="right")) - 1, at + 1), len(cols))
+                    size, some = unpacked(data[offs[at] : offs[to]], offs[at : to + 1] - offs[at])
+                    got = slopes(v, bias, toxic[at:to], size, some, weigh)
+                    out, at = got if out is None else out + got, to
+            return out
+
+        return added(lists, run, len(v) + 2)
+
+    model = learn(total, ratio, use, float(np.log(n1 / n0)), l2, steps)
+    discard(rows, lists)
+    return model
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = 1500, most_chars: int = 60_000) -> tuple[list[str], np.ndarray]:
-    """A bounded sample to fit on: of each class the ``per_class`` labelled documents, none held out, whose ids hash
+    """A bounded sample for ``fit``, for callers that want one (the queries use ``fit_all``): of each class the ``per_class`` labelled documents, none held out, whose ids hash
     lowest, of texts up to ``most_chars`` (longer ones are scored but not learned from). Null labels are not used;
     of repeated labels the larger counts, of repeated documents the text that sorts first."""
     lab = labels.where(F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -131,5 +308,5 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = fit(*training_rows(docs, table(spark, sf_dir, "labels")))
+    model = fit_all(docs, table(spark, sf_dir, "labels"))
     return score_toxicity(docs, model).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted")

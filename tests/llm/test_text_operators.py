@@ -82,6 +82,77 @@ def test_samples_are_bounded(spark):
     assert len(set(op5_language.training_rows(many)[1])) == 300
 
 
+def toxic_rows(n):
+    """Documents and labels, more of each class than any sample held; words of the last rows stand in no others."""
+    rng = np.random.default_rng(5)
+    words = [f"w{k}" for k in range(40)]
+    label = np.arange(n) % 2
+    picks = np.where(label[:, None] > 0, rng.integers(0, 30, (n, 5)), rng.integers(10, 40, (n, 5)))
+    texts = [" ".join(words[k] for k in x) + (f" late{lab}" if i >= n - 600 else "") for i, (x, lab) in enumerate(zip(picks.tolist(), label, strict=True))]
+    return texts, label
+
+
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    """The model is that of one process over all rows: repeated, null and unlabelled ones and very long texts among them."""
+    texts, label = toxic_rows(8000)
+    texts[7] = "clown " * 20_000
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame([*rows, (5, "zzz"), (3, None), (None, "w1"), (9000, "w2 unlabelled")], "doc_id long, text string")
+    labels = spark.createDataFrame([*enumerate(label.tolist()), (4, 0), (6, None), (None, 1), (9500, 1)], "doc_id long, toxic int")
+    got = op1_toxicity.fit_all(docs.repartition(7), labels)
+    some = [i for i in range(8000) if zlib.crc32(str(i).encode()) % 5]
+    want = op1_toxicity.fit([texts[i] for i in some], label[some])
+    assert (got.used == want.used).all() and got.bias == pytest.approx(want.bias, abs=1e-6)
+    assert got.weight == pytest.approx(want.weight, abs=1e-6)
+    empty = docs.limit(0)
+    assert op1_toxicity.fit_all(empty, labels).bias < 0 and op1_toxicity.fit_all(docs, labels.where("toxic = 1")).bias > 0
+
+
+def test_query_and_pipeline_learn_from_all_labelled_rows(spark, tmp_path, monkeypatch):
+    """Both score with the model of all rows, not of some of each class."""
+    import corpus_pipeline
+
+    texts, label = toxic_rows(8000)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(label.tolist())), "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    some = [i for i in range(8000) if zlib.crc32(str(i).encode()) % 5]
+    want = op1_toxicity.fit([texts[i] for i in some], label[some])
+    seen, real = [], op1_toxicity.score_toxicity
+    monkeypatch.setattr(op1_toxicity, "score_toxicity", lambda docs, model, **more: seen.append(model) or real(docs, model, **more))
+    op1_toxicity.op1_toxicity(spark, str(tmp_path))
+    corpus_pipeline.toxicity(spark, docs, str(tmp_path))
+    assert len(seen) == 2
+    for got in seen:
+        assert (got.used == want.used).all() and got.weight == pytest.approx(want.weight, abs=1e-6)
+
+
+def test_toxicity_fit_is_the_minimum():
+    """No small step along the gradient or at random lowers the loss by much; packed features come back."""
+    texts, label = toxic_rows(1200)
+    model, scratch = op1_toxicity.fit(texts, label), np.zeros(1 << op1_toxicity.BITS, np.int32)
+    x, y = np.zeros((len(texts), int(model.used.sum()))), label.astype(float)
+    to = np.cumsum(model.used) - 1
+    for i, t in enumerate(texts):
+        g = op1_toxicity.grams(t, scratch)
+        x[i, to[g[model.used[g]]]] = 1
+    df = [x[y == k].sum(axis=0) for k in (0, 1)]
+    r = np.log((df[1] + 1) / (y.sum() + 2)) - np.log((df[0] + 1) / ((1 - y).sum() + 2))
+    x *= r / np.sqrt(1 + x.sum(axis=1))[:, None]
+    weigh = np.where(y > 0, 0.25 / y.sum(), 0.75 / (1 - y).sum())
+
+    def slope(w, b):
+        err = weigh * (1 / (1 + np.exp(-(x @ w + b))) - y)
+        return np.append(x.T @ err + 1e-4 * w, err.sum())
+
+    start = slope(np.full(len(r), 0.02), math.log(y.sum() / (1 - y).sum()))
+    assert np.linalg.norm(slope(model.weight[model.used] / r, model.bias)) <= 2e-3 * np.linalg.norm(start)
+    lists = [[], [0], [254, 255, 256, 262143], [3, 258, 513], [262143]]
+    raw = [op1_toxicity.packed(np.array(c, np.int32)) for c in lists]
+    size, cols = op1_toxicity.unpacked(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert size.tolist() == [len(c) for c in lists] and cols.tolist() == sum(lists, [])
+
+
 def test_toxicity_odd(spark):
     model = op1_toxicity.fit(["you idiot clown " + str(i) for i in range(200)] + ["a fine day " + str(i) for i in range(200)], np.array([1] * 200 + [0] * 200))
     got = op1_toxicity.score_toxicity(odd(spark), model).collect()
