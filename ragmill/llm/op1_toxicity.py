@@ -12,7 +12,7 @@ from ragmill.llm.common import bounded_sample, discard, free_name, held_out, mat
 
 ORDERS = (3, 5, 7)
 BITS = 18
-BLOCKS, SUMS = 16, 16  # pieces in which vectors are summed, and sums that the driver adds
+BLOCKS, SUMS = 16, 16  # pieces in which vectors are summed, and sums of each before the last
 MARKS = 1 << 26  # bits that tell ids
 
 
@@ -172,7 +172,8 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def added(rows: DataFrame, run, n: int) -> np.ndarray:
     """The sum of the vectors of ``n`` numbers that ``run`` makes of the batches of each task (None: nothing), in BLOCKS
-    pieces: the cluster adds those of tasks whose numbers agree modulo SUMS, the driver the SUMS that are left."""
+    pieces: the cluster adds those of tasks whose numbers agree modulo SUMS, then the SUMS that are left; the driver gets
+    one vector."""
     size = -(-n // BLOCKS)
 
     def parts(batches):
@@ -183,19 +184,23 @@ def added(rows: DataFrame, run, n: int) -> np.ndarray:
             got = np.append(got, np.zeros(size * BLOCKS - n)).reshape(BLOCKS, size)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(BLOCKS, dtype=np.int32)), pa.array([x.tobytes() for x in got], pa.binary())], names=["block", "part"])
 
-    def add(t):
-        import pyarrow as pa
+    def add(order):
+        def whole(t):
+            import pyarrow as pa
+
+            t = t.sort_by(order)  # equal tables, equal sums
+            got = sum(np.frombuffer(x, np.float64) for x in t.column("part").to_pylist())
+            return pa.table({"block": t.column("block")[:1], "half": t.column("half")[:1], "part": pa.array([got.tobytes()], pa.binary())})
 
-        t = t.sort_by("task")  # equal tables, equal sums
-        whole = sum(np.frombuffer(x, np.float64) for x in t.column("part").to_pylist())
-        return pa.table({"block": t.column("block")[:1], "half": t.column("half")[:1], "part": pa.array([whole.tobytes()], pa.binary())})
+        return whole
 
+    schema = "block int, half int, part binary"
     each = rows.mapInArrow(parts, "block int, part binary").withColumn("task", F.spark_partition_id()).withColumn("half", F.col("task") % SUMS)
     out = np.zeros((BLOCKS, size))
     with tidy(rows.sparkSession):
-        got = each.groupBy("block", "half").applyInArrow(add, "block int, half int, part binary").collect()
-    for r in sorted(got, key=lambda r: r.half):
-        out[r.block] += np.frombuffer(r.part, np.float64)
+        got = each.groupBy("block", "half").applyInArrow(add("task"), schema).groupBy("block").applyInArrow(add("half"), schema).collect()
+    for r in got:
+        out[r.block] = np.frombuffer(r.part, np.float64)
     return out.ravel()[:n]
 
 
@@ -249,8 +254,10 @@ def fit_all(docs: DataFrame, labels: DataFrame, smooth: float = 1.0, l2: float =
     lists = materialize(rows.mapInArrow(features, "toxic int, cols binary"), "features")
 
     def total(v, bias):
+        sent = docs.sparkSession.sparkContext.broadcast(v)
+
         def run(batches):
-            out = None
+            v, out = sent.value, None
             for b in batches:
                 toxic, cols = b.column("toxic").to_numpy(), b.column("cols").cast(pa.large_binary())
                 _, offsets, raw = cols.buffers()
@@ -264,7 +271,10 @@ def fit_all(docs: DataFrame, labels: DataFrame, smooth: float = 1.0, l2: float =
                     out, at = got if out is None else out + got, to
             return out
 
-        return added(lists, run, len(v) + 2)
+        try:
+            return added(lists, run, len(v) + 2)
+        finally:
+            sent.destroy()  # not when the driver happens to collect its garbage
 
     model = learn(total, ratio, use, float(np.log(n1 / n0)), l2, steps)
     discard(rows, lists)

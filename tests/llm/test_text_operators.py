@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import zlib
 from collections import Counter, defaultdict
 
@@ -108,6 +109,28 @@ def test_toxicity_learns_from_all_labelled_rows(spark):
     assert op1_toxicity.fit_all(empty, labels).bias < 0 and op1_toxicity.fit_all(docs, labels.where("toxic = 1")).bias > 0
 
 
+def test_toxicity_sums_reach_the_driver_once(spark, monkeypatch):
+    """However many tasks add to a sum, the driver is sent one vector; the weights it sends out are gone after each pass."""
+    from pyspark import SparkContext
+
+    def run(batches):
+        ids = np.concatenate([np.zeros(0, np.int64), *(b.column(0).to_numpy() for b in batches)])
+        return np.bincount(ids % 999, minlength=999) * 0.5 if len(ids) else None
+
+    rows, got, sent = spark.range(0, 3000, 1, 40).where("id < 2900"), [], []
+    collect, broadcast = type(rows).collect, SparkContext.broadcast
+    monkeypatch.setattr(type(rows), "collect", lambda self: got.append(collect(self)) or got[-1])
+    monkeypatch.setattr(SparkContext, "broadcast", lambda self, value: sent.append((value, broadcast(self, value))) or sent[-1][1])
+    assert op1_toxicity.added(rows, run, 999).tolist() == (np.bincount(np.arange(2900) % 999) * 0.5).tolist()
+    assert len(got) == 1 and sum(len(r.part) for r in got[0]) <= 8 * (999 + op1_toxicity.BLOCKS)
+    assert not op1_toxicity.added(rows.limit(0), run, 999).any()
+    texts, label = toxic_rows(300)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    op1_toxicity.fit_all(docs.repartition(7), spark.createDataFrame(list(enumerate(label.tolist())), "doc_id long, toxic int"))
+    paths = [b._path for value, b in sent if isinstance(value, np.ndarray)]
+    assert paths and not any(os.path.exists(x) for x in paths)
+
+
 def test_query_and_pipeline_learn_from_all_labelled_rows(spark, tmp_path, monkeypatch):
     """Both score with the model of all rows, not of some of each class."""
     import corpus_pipeline
