@@ -197,6 +197,20 @@ def test_pages(spark):
     assert one.url == "u" and len(one.pages) == 2 and pg.SPLIT in one.document_text
 
 
+def test_pages_are_parsed_by_bytes(spark):
+    """Slices hold so many bytes together, or one larger page; pages of several slices come back in order, none is lost."""
+    sizes = np.array([3, 4, 0, 9, 30, 1, 1, 8, 2, 0])
+    cut = list(pg.slices(sizes, 10))
+    assert [i for a, b in cut for i in range(a, b)] == list(range(len(sizes))) and all(sizes[a:b].sum() <= 10 or b == a + 1 for a, b in cut)
+    assert list(pg.slices(np.zeros(0, int), 10)) == []
+    long = "word " * (pg.SLICE // 12)
+    rows = [(i, None if i == 3 else f"u{i}", None if i == 5 else f'<div id="mw-content-text"><p>{i} {long if i % 2 else "é"}</p></div>') for i in range(12)]
+    p = spark.createDataFrame(rows, "page_id int, url string, html string").coalesce(1)
+    got = pg.parse_pages(p, keys=("page_id", "url")).collect()
+    assert [r.page_id for r in got] == list(range(12)) and [r.page_id for r in got if r.page is None] == [3, 5]
+    assert all(r.page.text == f"{r.page_id} {long if r.page_id % 2 else 'é'}".strip() for r in got if r.page)
+
+
 def test_readers(spark, tmp_path):
     f = tmp_path / "s.jsonl"
     f.write_text('{"id":"1","question":"q","gold_passages":["g"]}\n{"id":"2","question":"q"}\n')
