@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+from itertools import chain
 from typing import Protocol
 
 import numpy as np
@@ -22,6 +24,19 @@ class Embedder(Protocol):
     def encode(self, texts: list[str]) -> np.ndarray: ...
 
 
+class Places(dict):
+    """Twice the axis of a word, and one where it adds; a word is hashed once."""
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.size = size
+
+    def __missing__(self, word: str) -> int:
+        h = zlib.crc32(word.encode())
+        self[word] = got = h % self.size * 2 + (h >> 31)
+        return got
+
+
 class HashingEmbedder:
     """Unit vectors of hashed words; a text without words gets the first axis."""
 
@@ -29,13 +44,11 @@ class HashingEmbedder:
         self.size = size
 
     def encode(self, texts: list[str]) -> np.ndarray:
-        import zlib
-
-        out = np.zeros((len(texts), self.size), np.float32)
-        for i, t in enumerate(texts):
-            for w in (t or "").lower().split():
-                h = zlib.crc32(w.encode())
-                out[i, h % self.size] += 1 if h >> 31 else -1
+        words = [(t or "").lower().split() for t in texts]
+        places = Places(self.size)
+        at = np.fromiter(map(places.__getitem__, chain.from_iterable(words)), np.int64, sum(map(len, words)))
+        row = np.repeat(np.arange(len(texts)), [len(w) for w in words])
+        out = np.bincount(row * self.size + (at >> 1), (at & 1) * 2.0 - 1, len(texts) * self.size).reshape(-1, self.size).astype(np.float32)
         n = np.linalg.norm(out, axis=1)
         out[n == 0, 0] = 1
         return out / np.where(n == 0, 1, n)[:, None]

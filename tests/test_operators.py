@@ -269,3 +269,65 @@ def test_runs_of_items():
         assert {r["id"]: r["shared"] for r in near.sharing(" ".join(w), 5)} == want
         hit += len(want)
     assert hit > 100 and Runs([], 3, True).within("a b c") == [] == Runs([], 3, False).sharing("", 5)
+
+
+def brute(q, v, ids, k, metric, own=None):
+    d = retrieve.scores(q, v, metric)
+    if own is not None:
+        d = np.where(ids[None, :] == own[:, None], np.inf, d)
+    return [[(int(ids[j]), d[i, j]) for j in np.lexsort((ids, d[i]))[:k] if np.isfinite(d[i, j])] for i in range(len(q))]
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip", "l1", "linf"])
+@pytest.mark.parametrize("kind", ["plain", "ties", "far", "odd"])
+def test_nearest_of_blocks(spark, metric, kind):
+    """The k nearest of many blocks are those of all rows, to the bit: ties, vectors far from the origin and near each other
+    (where a product's rounding is larger than their distances), vectors that overflow or are no numbers."""
+    rng = np.random.default_rng(3)
+    v, q = rng.standard_normal((3000, 8)), rng.standard_normal((9, 8))
+    if kind == "ties":
+        v, q = rng.integers(0, 2, (3000, 8)).astype(float), rng.integers(0, 2, (9, 8)).astype(float)
+    if kind == "far":
+        v, q = 1e9 + 1e-6 * v, 1e9 + 1e-6 * q
+    if kind == "odd":
+        v[::7], v[3], v[5], q[2] = 1e200, np.nan, np.inf, 1e200
+    ids = rng.permutation(3000).astype(np.int64)
+    asked = spark.createDataFrame([(int(ids[i]), x.tolist()) for i, x in enumerate(q)], "qid long, embedding array<double>")
+    corpus = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, v, strict=True)], "chunk_id long, embedding array<double>")
+    for own in (False, True):
+        got = [[] for _ in q]
+        place = {int(ids[i]): i for i in range(len(q))}
+        with np.errstate(all="ignore"):
+            want = brute(q, v, ids, 5, metric, ids[: len(q)] if own else None)
+        for r in knn(asked, corpus, 5, metric, exclude_self=own).orderBy("qid", "rank").collect():
+            got[place[r.qid]].append((r.chunk_id, -r.distance if metric == "ip" else r.distance))
+        if metric == "ip":  # a product's sums hang on the shape of the block
+            assert [len(x) for x in got] == [len(x) for x in want] and np.allclose([d for x in got for _, d in x], [d for x in want for _, d in x])
+        else:
+            assert got == want
+
+
+def test_few_distances_are_taken():
+    """Once k are known only what can be nearer is looked at; bounds leave no pair out."""
+    rng = np.random.default_rng(4)
+    q, v = rng.standard_normal((50, 16)), rng.standard_normal((20000, 16))
+    full = retrieve.scores(q, v, "l2")
+    row, col, d = retrieve.near(q, v, "l2", 10, np.full(50, np.inf))
+    assert len(row) == 500 and (d == full[row, col]).all() and (np.sort(d.reshape(50, 10)) == np.sort(full)[:, :10]).all()
+    row, col, d = retrieve.near(q, v, "l2", 10, np.sort(full)[:, 2])
+    assert len(row) == 150 and (np.bincount(row) == 3).all()
+
+
+def test_words_are_hashed_once():
+    import zlib
+
+    some = ["a b a", "", None, "x " * 500 + "Y", "é \u00a0 z", "b"]
+    want = np.zeros((len(some), 16), np.float32)
+    for i, x in enumerate(some):
+        for w in (x or "").lower().split():
+            want[i, zlib.crc32(w.encode()) % 16] += 1 if zlib.crc32(w.encode()) >> 31 else -1
+    norm = np.linalg.norm(want, axis=1)
+    want[norm == 0, 0] = 1
+    got = HashingEmbedder(16).encode(some)
+    assert got.dtype == np.float32 and (got == want / np.where(norm == 0, 1, norm)[:, None]).all()
+    assert HashingEmbedder(16).encode([]).shape == (0, 16)
